@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutline.llm.common import cells, materialise, one_space
+from scoutline.llm.common import SPACE, cells, materialise, one_space
 
 #: Entries and identifiers that a memtable holds before it is flushed.
 MEMTABLE_IDS = 200_000
@@ -181,13 +181,20 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with docs' columns. doc_id is the key: of repeated rows one stays."""
+    """The rows of docs that stay, with docs' columns."""
     found = exact_dedup(docs)
-    keep = materialise(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("texts")).join(found.groupBy("doc_id").agg(F.count("*").alias("rows")), "doc_id"), "keep")
-    once = docs.join(keep.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(keep.where("rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    null_id = docs.where("doc_id is null").dropDuplicates(["text"])
-    return once.unionByName(again).unionByName(null_id).select(docs.columns)
+    by_id = materialise(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.collect_set(F.when(F.col("kept"), F.col("text_sha256"))).alias("shas")).where("size(shas) > 0"), "kept")
+    once = docs.join(by_id.where("rows = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    # rows that share a doc_id, or have none, are told apart by their texts
+    several = by_id.where("rows > 1 or doc_id is null")
+    if several.isEmpty():
+        return once
+    text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), rf"[{SPACE}]+", " ")
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.sha2(text, 256).alias("sha"), held)
+    several = several.select("doc_id", F.explode("shas").alias("sha"))
+    again = rows.join(several, rows["id"].eqNullSafe(several["doc_id"]) & (rows["sha"] == several["sha"]), "left_semi")
+    return once.unionByName(again.dropDuplicates(["id", "sha"]).select("row.*"))
 
 
 QUERIES = {"op1_exact_dedup": lambda spark, sf_dir: exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))}

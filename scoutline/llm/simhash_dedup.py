@@ -283,8 +283,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with docs' columns; rows without doc_id stay."""
     stay = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi")
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    kept = docs.join(stay.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 QUERIES = {"op9_simhash": lambda spark, sf_dir: near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
