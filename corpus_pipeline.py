@@ -1,2 +1,44 @@
+"""From documents to token ids: quality rules, exact and near deduplication, mixing, encoding.
+
+Each stage reads what the one before kept; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from scoutline.llm import byte_bpe, exact_dedup, quality_rules, simhash_dedup, source_mixing
+from scoutline.llm.common import materialise
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash_dedup.keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return source_mixing.take(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return byte_bpe.public(docs, with_ids=True)
+
+
+STAGES = [("quality_rules", keep_good), ("exact_dedup", drop_copies), ("simhash_near_dedup", drop_near_copies), ("source_mixing", mix), ("byte_bpe", encode)]
+
+#: The fingerprints and the draw use XXH64 and the ids byte-level BPE, which SQL cannot express.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
