@@ -64,7 +64,7 @@ def agreement(rows: DataFrame, a: str, b: str, grades: int = 3) -> DataFrame:
 
     r = t.join(mean_rank("a"), "a").join(mean_rank("b"), "b")
     m = r.agg(F.sum("n").alias("k"), F.sum(F.col("n") * F.col("ra")).alias("x"), F.sum(F.col("n") * F.col("rb")).alias("y"), F.sum(F.col("n") * F.col("ra") * F.col("ra")).alias("xx"), F.sum(F.col("n") * F.col("rb") * F.col("rb")).alias("yy"), F.sum(F.col("n") * F.col("ra") * F.col("rb")).alias("xy"))
-    rho = (F.col("k") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt((F.col("k") * F.col("xx") - F.col("x") ** 2) * (F.col("k") * F.col("yy") - F.col("y") ** 2))
+    rho = F.try_divide(F.col("k") * F.col("xy") - F.col("x") * F.col("y"), F.sqrt((F.col("k") * F.col("xx") - F.col("x") ** 2) * (F.col("k") * F.col("yy") - F.col("y") ** 2)))
     return out.crossJoin(m.select(F.round(rho, 6).alias("spearman")))  # a row by a row
 
 

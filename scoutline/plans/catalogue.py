@@ -1,4 +1,526 @@
-"""The named queries of the library and their SQL."""
+"""The named queries of the library over the driver's tables, each with the SQL its result is held against."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from scoutline.functions import lexicon as lex
+from scoutline.functions import text as tx
+from scoutline.functions.geo import cosine
+from scoutline.operators import annotation, classify, content, cooccurrence, knowledge, metrics, places, preparation, retrieval, tagging
+from scoutline.sources import views as v
+from scoutline.streaming.cooccurrence_stream import windowed_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+#: Phrases that give names some Turkish text to work on, dealt by id.
+PHRASES = ("Eski sokakta gece", "İstanbul limanında kovalamaca", "garaj kapısı", "Köyler ve tarla", "deniz kıyısında sabah", "hastane acil 1999 yılında", "Ara sokak ve çarşı", "tapınak", "Fabrikada takip", "düğün")
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = f"with {v.SQL}\n{sql}" if not sql.lstrip().startswith("with") else sql.replace("with ", f"with {v.SQL},\n", 1) if "recursive" not in sql else sql.replace("with recursive ", f"with recursive {v.SQL},\n", 1)
+        return f
+
+    return keep
+
+
+def _phrase(key: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, PHRASES)), (key % len(PHRASES) + 1).cast("int"))
+
+
+_PH = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
+
+
+def ph(key: str) -> str:
+    return f"{_PH}[{key} % {len(PHRASES)} + 1]"
+
+
+_LOWER = "lower(translate({0}, 'İIĞÜŞÖÇ', 'iığüşöç'))"
+#: Great-circle distance in SQL.
+KM = "2 * 6371.0::double * asin(sqrt(least(1.0::double, greatest(0.0::double, pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2)))))"
+
+
+def km(*args: str) -> str:
+    return KM.format(*args)
+
+
+# --- preparation -------------------------------------------------------------------------------------------
+
+
+@query("dataset_star_join", "select b.production_id, b.location_id, genre, director, name, province, macro_region, round(case when l.location_id = 1 then 38.5 else lat end, 6) as lat, round(lon, 6) as lon from bridge b left join production p on p.production_id = b.production_id join location l on l.location_id = b.location_id")
+def _(s: SparkSession, d: str) -> DataFrame:
+    places_ = preparation.overwrite(v.location(s, d), F.col("location_id") == 1, "lat", 38.5)
+    out = preparation.star_join(v.bridge(s, d), v.production(s, d), places_)
+    return out.select("production_id", "location_id", "genre", "director", "name", "province", "macro_region", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query("dataset_checks", "select count(*) as n, count(distinct location_id) as places, count(*) filter (p.production_id is null) as without_production from bridge b left join production p on p.production_id = b.production_id")
+def _(s, d):
+    j = v.bridge(s, d).join(v.production(s, d).select("production_id", F.lit(1).alias("known")), "production_id", "left")
+    return j.agg(F.count("*").alias("n"), F.countDistinct("location_id").alias("places"), F.count_if(F.col("known").isNull()).alias("without_production"))
+
+
+@query("coordinate_parse", "select location_id, round(lat, 6) as lat, round(lon, 6) as lon from location")
+def _(s, d):
+    c = v.location(s, d).withColumn("coord", F.concat(F.col("lat").cast("string"), F.lit(", "), F.col("lon").cast("string")))
+    lat, lon = preparation.parse_coord(F.col("coord"))
+    return c.select("location_id", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+
+
+@query("dense_label_ids", "select distinct genre, dense_rank() over (order by genre) - 1 as label_id from production")
+def _(s, d):
+    return preparation.dense_id(v.production(s, d).select("genre").distinct(), "genre")
+
+
+@query("title_join", "with t as (select p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' (' || p_brand || ') [aug1]'), '\\s*\\(.*?\\)', '', 'g'), '\\s*\\[aug\\d+\\]$', ''), '\\s+', ' ', 'g')) as t from part), r as (select t, min(p_partkey) as first from t group by t) select p_partkey, first as right_key from t join r using (t)")
+def _(s, d):
+    p = v.table(s, d, "part")
+    title = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(") [aug1]"))
+    left = p.select("p_partkey", title.alias("title"))
+    right = p.select(F.col("p_partkey").alias("right_key"), F.col("p_name").alias("title"))
+    return preparation.join_titles(left, right, "title", ["right_key"]).select("p_partkey", "right_key")
+
+
+@query("grouped_split", "with g as (select distinct p_partkey, p_brand from part), n as (select p_brand, count(*) as n from g group by p_brand), c as (select p_brand, n, greatest(round_even(n * 0.15, 0), 1) as a, greatest(round_even(n * 0.10, 0), 1) as b from n) select p_brand, 'test' as split, a::bigint as n from c union all select p_brand, 'val', b::bigint from c union all select p_brand, 'train', (n - a - b)::bigint from c")
+def _(s, d):
+    g = preparation.grouped_split(v.table(s, d, "part"), "p_partkey", "p_brand")
+    return g.groupBy("p_brand", "split").agg(F.count("*").alias("n"))
+
+
+@query("retrieval_split", "with n as (select count(*) as n from part), c as (select n, greatest(100, floor(n * 0.1)) as t, greatest(50, floor(n * 0.1)) as v from n) select 'test' as split, t::bigint as n from c union all select 'val', v::bigint from c union all select 'train', (n - t - v)::bigint from c")
+def _(s, d):
+    pairs = v.item(s, d).select(F.col("text").alias("query"), F.col("province").alias("passage"), F.col("item_id").alias("location_id"))
+    return preparation.retrieval_pairs(pairs).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("augment_minority", "with l as (select l.doc_id, quality::varchar || '/' || toxic::varchar as label, text from labels l join documents d on d.doc_id = l.doc_id), n as (select label, count(*) as n from l group by label having count(*) < 50), x as (select l.label, n, len(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= 31)) as k from l join n on n.label = l.label) select label, least(2 * count(*), 50 - any_value(n))::bigint as added from x where k >= 4 group by label")
+def _(s, d):
+    lab = v.table(s, d, "labels").join(v.table(s, d, "documents").select("doc_id", "text"), "doc_id").withColumn("label", F.concat_ws("/", "quality", "toxic"))
+    return preparation.augment(lab, 50).groupBy("label").agg(F.count("*").alias("added"))
+
+
+@query("class_weights", "select genre, round(sum(count(*)) over () / (count(*) over () * count(*)), 6) as weight from production group by genre")
+def _(s, d):
+    return metrics.class_weights(v.production(s, d), "genre")
+
+
+# --- co-occurrence -----------------------------------------------------------------------------------------
+
+_EDGES = """n as (select production_id, count(*) as n from item_bridge group by 1),
+half as (select a.item_id as src, b.item_id as dst, sum(1.0::double / (n - 1)) as w from item_bridge a join item_bridge b on a.production_id = b.production_id and a.item_id < b.item_id join n on n.production_id = a.production_id group by 1, 2),
+deg as (select item_id, count(distinct production_id) as deg from item_bridge group by 1),
+hs as (select h.*, w / sqrt(x.deg * y.deg) as sim from half h join deg x on x.item_id = src join deg y on y.item_id = dst),
+edges as (select src, dst, w, sim from hs union all select dst, src, w, sim from hs)"""
+_VECTORS = """gc as (select item_id, genre, count(*) as c from item_bridge b join production p on p.production_id = b.production_id where trim(genre) <> '' group by 1, 2),
+gd as (select genre, count(*) as df from gc group by 1),
+gx as (select item_id, gc.genre, c / sum(c) over (partition by item_id) * ln((select count(distinct item_id) from gc) / (1 + df)) as x from gc join gd on gd.genre = gc.genre),
+gv as (select item_id, genre, x / coalesce(nullif(sqrt(sum(x * x) over (partition by item_id)), 0), 1) as v from gx)"""
+
+
+@query("cooc_edges", f"with {_EDGES} select src, dst, round(w, 6) as w, round(sim, 6) as sim from hs")
+def _(s, d):
+    return cooccurrence.edges(v.item_bridge(s, d)).where("src < dst").select("src", "dst", F.round("w", 6).alias("w"), F.round("sim", 6).alias("sim"))
+
+
+@query("genre_vectors", f"with {_VECTORS} select item_id, genre, round(v, 6) as v from gv")
+def _(s, d):
+    return cooccurrence.genre_vectors(v.item_bridge(s, d), v.production(s, d)).select("item_id", "genre", F.round("v", 6).alias("v"))
+
+
+@query("cooc_recommend", f"""with {_EDGES}, {_VECTORS},
+e as (select src, dst, sim from edges where src in (1, 2, 3) and dst not in (1, 2, 3)),
+g as (select e.src, e.dst, sum(a.v * b.v) as g from e join gv a on a.item_id = e.src join gv b on b.item_id = e.dst and b.genre = a.genre group by 1, 2)
+select e.dst as cand, round(sum(sim * (1 + 0.3::double * coalesce(g, 0) + case when x.province = y.province then 0.1::double else 0 end)), 6) as score
+from e left join g on g.src = e.src and g.dst = e.dst join item x on x.item_id = e.src join item y on y.item_id = e.dst group by 1 order by score desc, cand limit 10""")
+def _(s, d):
+    b = v.item_bridge(s, d)
+    seeds = s.createDataFrame([(1,), (2,), (3,)], "seed bigint")
+    return cooccurrence.recommend(seeds, cooccurrence.edges(b), cooccurrence.genre_vectors(b, v.production(s, d)), v.item(s, d))
+
+
+@query("cooc_loo_eval", f"""with {_EDGES},
+own as (select b.production_id, item_id from item_bridge b join n on n.production_id = b.production_id where n >= 3),
+t as (select production_id, item_id, dst, sim from own join edges on src = item_id),
+whole as (select production_id, dst, sum(sim) as s from t group by 1, 2),
+held as (select o.production_id, o.item_id as held, round(coalesce(w.s, 0), 9) as g from own o left join whole w on w.production_id = o.production_id and w.dst = o.item_id),
+outside as (select w.* from whole w anti join own o on o.production_id = w.production_id and o.item_id = w.dst),
+sc as (select h.production_id, h.held, h.g, o.dst, round(o.s - coalesce(e.sim, 0), 9) as s from held h join outside o on o.production_id = h.production_id left join edges e on e.src = h.held and e.dst = o.dst),
+r as (select h.production_id, h.held, h.g, count(*) filter (sc.s > 0 and (sc.s > h.g or (sc.s = h.g and sc.dst < h.held))) + 1 as rk from held h left join sc on sc.production_id = h.production_id and sc.held = h.held group by 1, 2, 3),
+x as (select case when g > 0 then rk end as rk from r)
+select count(*) as n, round(avg(case when rk <= 1 then 100 else 0 end), 6) as hr1, round(avg(case when rk <= 3 then 100 else 0 end), 6) as hr3, round(avg(case when rk <= 5 then 100 else 0 end), 6) as hr5,
+round(avg(case when rk <= 10 then 100 else 0 end), 6) as hr10, round(avg(case when rk <= 10 then 1.0 / rk else 0 end), 6) as mrr from x""")
+def _(s, d):
+    b = v.item_bridge(s, d)
+    return cooccurrence.leave_one_out(b, cooccurrence.edges(b))
+
+
+# --- places ------------------------------------------------------------------------------------------------
+
+
+@query("near_pairs", f"select a.location_id as a, b.location_id as b, round({km('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6) as km from location a join location b on a.location_id < b.location_id where {km('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 15")
+def _(s, d):
+    return places.near_pairs(v.location(s, d)).select("a", "b", F.round("km", 6).alias("km"))
+
+
+_KNN = f"""knn0 as (select a.province, a.location_id as src, b.location_id as dst, round({km('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6) as km from location a join location b on a.province = b.province and a.location_id <> b.location_id),
+knn1 as (select * exclude (rn) from (select *, row_number() over (partition by province, src order by km, dst) as rn from knn0) where rn <= 6),
+knn as (select distinct * from (select province, src, dst, km from knn1 union all select province, dst, src, km from knn1))"""
+
+
+@query("knn_graph", f"with {_KNN} select province, src, dst, km from knn")
+def _(s, d):
+    return places.knn_graph(v.location(s, d))
+
+
+def _one_province(s, d) -> DataFrame:
+    loc = v.location(s, d)
+    name = loc.groupBy("province").count().orderBy(F.desc("count"), "province").first()["province"]
+    return loc.where(F.col("province") == name)
+
+
+@query("shortest_path_region")
+def _(s, d):
+    p = _one_province(s, d)
+    source = p.agg(F.min("location_id")).first()[0]
+    return places.shortest_paths(places.region_graph(p), source).select("node", "dist", F.size("path").cast("long").alias("stops"))
+
+
+@query("all_pairs_region")
+def _(s, d):
+    return places.all_pairs(places.region_graph(_one_province(s, d)))
+
+
+def _stops(s, d, n: int) -> DataFrame:
+    """The first n places of each province that has as many, as a route."""
+    loc = v.location(s, d)
+    w = W.partitionBy("province")
+    loc = loc.withColumn("seq", F.row_number().over(w.orderBy("location_id"))).withColumn("n", F.count("*").over(w))
+    return loc.where((F.col("n") >= n) & (F.col("seq") <= n)).select(F.col("province").alias("route"), "seq", "location_id", "name", "lat", "lon")
+
+
+@query("route_exact", f"""with recursive st as (select * from (select province, location_id, lat, lon, row_number() over (partition by province order by location_id) as seq, count(*) over (partition by province) as n from location) where n >= 4 and seq <= 4),
+w as (select province, seq as first, seq as last, [seq] as o, lat, lon, 0.0::double as km from st
+union all select w.province, w.first, s.seq, list_append(w.o, s.seq), s.lat, s.lon, w.km + {km('w.lat', 'w.lon', 's.lat', 's.lon')} from w join st s on s.province = w.province where not list_contains(w.o, s.seq))
+select province as route, round(min(km), 4) as total_km from w where len(o) = 4 group by province""")
+def _(s, d):
+    return places.routes(_stops(s, d, 4)).select("route", "total_km").distinct()
+
+
+@query("route_heuristic")
+def _(s, d):
+    return places.routes(_one_province(s, d).select(F.col("province").alias("route"), F.col("location_id").alias("seq"), "location_id", "lat", "lon"))
+
+
+@query("split_days", "with r as (select province as route, location_id, row_number() over (partition by province order by location_id) as pos, count(*) over (partition by province) as n from location) select route, location_id, pos, case when n <= 3 then 1 else ntile(3) over (partition by route order by pos) end as day from r")
+def _(s, d):
+    r = v.location(s, d).select(F.col("province").alias("route"), "location_id", F.row_number().over(W.partitionBy("province").orderBy("location_id")).cast("long").alias("pos"))
+    return places.split_days(r, 3)
+
+
+@query("narrate", "with r as (select province as route, name, location_id, row_number() over (partition by province order by location_id) as pos from location) select route, string_agg(name || ' durağında ' || case when location_id % 2 = 0 then 'bölgenin dokusunu' else 'müze' end || ' keşfedin.', ' ' order by pos) as text from r group by route")
+def _(s, d):
+    r = v.location(s, d).select(F.col("province").alias("route"), "name", F.row_number().over(W.partitionBy("province").orderBy("location_id")).alias("pos"), F.when(F.col("location_id") % 2 == 1, "müze").alias("activities"))
+    return places.narrate(r)
+
+
+# --- content and knowledge ---------------------------------------------------------------------------------
+
+
+@query("genre_tfidf", "with c as (select location_id, genre, count(*) as c from bridge b join production p on p.production_id = b.production_id where genre is not null group by 1, 2), f as (select genre, count(*) as df from c group by 1), x as (select location_id, c.genre, c / sum(c) over (partition by location_id) * (ln((select count(distinct location_id) from c) / df) + 1) as x from c join f on f.genre = c.genre) select location_id, genre, round(x / sqrt(sum(x * x) over (partition by location_id)), 6) as v from x")
+def _(s, d):
+    links = v.bridge(s, d).join(v.production(s, d), "production_id").select("location_id", "genre")
+    return content.genre_tfidf(links).select("location_id", "genre", F.round("v", 6).alias("v"))
+
+
+@query("hybrid_route_select", f"""with c as (select location_id, genre, count(*) as c from bridge b join production p on p.production_id = b.production_id where genre is not null group by 1, 2), f as (select genre, count(*) as df from c group by 1),
+x as (select location_id, c.genre, c / sum(c) over (partition by location_id) * (ln((select count(distinct location_id) from c) / df) + 1) as x from c join f on f.genre = c.genre),
+t as (select location_id, genre, x / sqrt(sum(x * x) over (partition by location_id)) as v from x),
+g as (select location_id, sum(v * case genre when 'BUILDING' then 0.6::double when 'MACHINERY' then 0.8::double else 0 end) as g from t group by 1),
+m as (select avg(lat) as clat, avg(lon) as clon from location where province = 'NATION_9'),
+s as (select l.location_id, round((coalesce(g, 0) + ((location_id % 2) + (location_id % 3 = 0)::int) / 2.0) / 2 * exp(-({km('clat', 'clon', 'lat', 'lon')}) / 200.0::double), 9) as score from location l left join g using (location_id), m where clat is not null),
+k as (select avg(score) + stddev_samp(score) as threshold from s where score > 0),
+a as (select count(*) filter (score >= threshold) as above from s, k),
+r as (select location_id, score, row_number() over (order by score desc, location_id) as rank from s)
+select location_id, round(score, 6) as score, round(threshold, 6) as threshold, rank from r, k, a where rank <= least(greatest(above, 3), 10)""")
+def _(s, d):
+    links = v.bridge(s, d).join(v.production(s, d), "production_id").select("location_id", "genre")
+    themes = {"odd": (F.col("location_id") % 2).cast("double"), "third": (F.col("location_id") % 3 == 0).cast("double")}
+    return content.hybrid_route(v.location(s, d), content.genre_tfidf(links), {"BUILDING": 0.6, "MACHINERY": 0.8}, themes, "NATION_9", 200.0)
+
+
+_KG = f"""ke as (select distinct 'film' as st, production_id::varchar as s, 'genre' as dt, genre as t, 'genre' as relation from production union all
+select distinct 'film', production_id::varchar, 'director', director, 'directed' from production union all
+select distinct 'film', production_id::varchar, 'actor', item_id::varchar, 'acted' from item_bridge union all
+select distinct 'film', production_id::varchar, 'location', location_id::varchar, 'shot' from bridge union all
+select 'location', a.location_id::varchar, 'location', b.location_id::varchar, 'near' from location a join location b on a.location_id < b.location_id where {km('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 15)"""
+
+
+def _kg(s, d):
+    return knowledge.graph(v.production(s, d), v.bridge(s, d), v.item_bridge(s, d), v.location(s, d))
+
+
+@query("kg_edge_counts", f"with {_KG} select relation, count(*) as n from ke group by relation")
+def _(s, d):
+    return _kg(s, d)[1].groupBy("relation").agg(F.count("*").alias("n"))
+
+
+@query("kg_node_counts", f"with {_KG} select type, count(*) as n from (select st as type, s as k from ke union select dt, t from ke union select 'location', location_id::varchar from location) group by type")
+def _(s, d):
+    return _kg(s, d)[0].groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("node2vec_recommend")
+def _(s, d):
+    loc = v.location(s, d)
+    edges = v.bridge(s, d).join(v.production(s, d), "production_id").select(F.concat(F.lit("l"), "location_id").alias("a"), F.concat(F.lit("g"), "genre").alias("b")).distinct()
+    edges = edges.unionByName(loc.select(F.concat(F.lit("l"), "location_id").alias("a"), F.concat(F.lit("p"), "province").alias("b")))
+    vec = knowledge.embed(knowledge.ppmi(knowledge.walks(edges, per_node=8, length=10)), 16)
+    q = vec.where("node = 'gBUILDING'").select(F.col("vec").alias("q"))
+    return vec.where("node like 'l%'").crossJoin(F.broadcast(q)).select("node", F.round(cosine(F.col("vec"), F.col("q")), 6).alias("sim")).orderBy(F.desc("sim"), "node").limit(10)
+
+
+# --- retrieval ---------------------------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in lex.STOP_WORDS)
+
+
+def _tok(text: str) -> str:
+    return f"list_filter(string_split(regexp_replace({_LOWER.format(text)}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '' and x not in ({_STOP}))"
+
+
+_BM25 = f"""dt as (select doc_id, {_tok('text')} as t from documents), st as (select count(*) as n_docs, avg(len(t)) as avg_len from dt),
+po as (select doc_id, len, term, count(*) as tf from (select doc_id, len(t) as len, unnest(t) as term from dt) group by all),
+df as (select term, count(*) as df from po group by term),
+qt as (select item_id, term, count(*) as qn from (select item_id, unnest({_tok('text')}) as term from benchmark) group by all),
+sc as (select item_id, doc_id, round(sum(qn * ln((n_docs - df + 0.5::double) / (df + 0.5::double) + 1) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * len / avg_len))), 6) as score from qt join po using (term) join df using (term), st group by 1, 2),
+bm as (select * from (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from sc where score > 0) where rank <= 5)"""
+
+
+@query("bm25_stats", f"with {_BM25} select n_docs, round(avg_len, 6) as avg_len, (select count(*) from df) as terms from st")
+def _(s, d):
+    docs = v.table(s, d, "documents")
+    terms = retrieval.postings(docs).agg(F.countDistinct("term").alias("terms"))
+    return retrieval.bm25_stats(docs).select("n_docs", F.round("avg_len", 6).alias("avg_len")).crossJoin(terms)  # a row by a row
+
+
+@query("bm25_topk", f"with {_BM25} select item_id, doc_id, score, rank from bm")
+def _(s, d):
+    return retrieval.bm25(v.table(s, d, "documents"), v.table(s, d, "benchmark"))
+
+
+@query("rag_prompt", f"with {_BM25} select b.item_id, 'Yalnızca BELGELER.' || chr(10) || chr(10) || 'BELGELER:' || chr(10) || string_agg('[Belge ' || rank || ' - ' || coalesce(source, '') || ']' || chr(10) || coalesce(d.text, ''), chr(10) || chr(10) order by rank) || chr(10) || chr(10) || 'SORU: ' || any_value(b.text) || chr(10) || chr(10) || 'CEVAP:' as prompt from bm join documents d using (doc_id) join benchmark b on b.item_id = bm.item_id group by b.item_id")
+def _(s, d):
+    docs, q = v.table(s, d, "documents"), v.table(s, d, "benchmark")
+    return retrieval.prompts(retrieval.bm25(docs, q), docs, q, "Yalnızca BELGELER.")
+
+
+_COS = "round(list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[], b.embedding::double[])), 6)"
+_BEST = f"""ps as (select b.vec_id as q, a.label, max({_COS}) as sim from embeddings a join embeddings b on a.vec_id <> b.vec_id {{where}} group by 1, 2),
+rk as (select *, row_number() over (partition by q order by sim desc, label) as rank from ps)"""
+
+
+@query("vector_topk_by_label", f"with {_BEST.format(where='where b.vec_id % 100 = 0')} select q, label, sim, rank from rk where rank <= 5")
+def _(s, d):
+    e = v.table(s, d, "embeddings")
+    return retrieval.best_per_label(e, e.where("vec_id % 100 = 0"))
+
+
+@query("vector_search_blocks", f"select b.vec_id as q, a.vec_id, a.label, {_COS} as sim from embeddings a, embeddings b where b.vec_id % 100 = 0")
+def _(s, d):
+    e = v.table(s, d, "embeddings")
+    return retrieval.similar(e, e.where("vec_id % 100 = 0"))
+
+
+_RANKSQL = "count(*) as n, round(avg(case when rank <= 1 then 100 else 0 end), 6) as hr1, round(avg(case when rank <= 3 then 100 else 0 end), 6) as hr3, round(avg(case when rank <= 5 then 100 else 0 end), 6) as hr5, round(avg(case when rank <= 10 then 100 else 0 end), 6) as hr10, round(avg(case when rank <= 5 then 20 else 0 end), 6) as p5, round(avg(coalesce(1.0::double / rank, 0)), 6) as mrr, round(avg(case when rank <= 5 then 1 / log2(rank + 1) else 0 end), 6) as ndcg5"
+
+
+@query("vector_loo_eval", f"with {_BEST.format(where='')} select {_RANKSQL} from rk join embeddings e on e.vec_id = rk.q and e.label = rk.label")
+def _(s, d):
+    e = v.table(s, d, "embeddings")
+    ranked = retrieval.best_per_label(e, e, k=1_000_000)
+    return metrics.ranking(ranked.join(e.select(F.col("vec_id").alias("q"), "label"), ["q", "label"]))
+
+
+_CATS = "case " + " ".join(f"when regexp_matches({_LOWER.format('{0}')}, '(^|[^\\p{{{{L}}}}\\p{{{{N}}}}_])({'|'.join(x for x in k.split(',') if ' ' not in x)})({'|'.join(lex.SUFFIXES)})?([^\\p{{{{L}}}}\\p{{{{N}}}}_]|$)')" + "".join(f" or contains({_LOWER.format('{0}')}, '{x}')" for x in k.split(",") if " " in x) + f" then '{n}'" for n, k in lex.CATEGORIES.items()) + " end"
+
+
+def _cat(text: str) -> str:
+    return _CATS.format(text)
+
+
+def _named(s, d) -> DataFrame:
+    return v.item(s, d).withColumn("name", F.concat("text", F.lit(" "), _phrase(F.col("item_id"))))
+
+
+_NAMED = f"nm as (select item_id, province, text || ' ' || {ph('item_id')} as name from item)"
+
+
+@query("category_assign", f"with {_NAMED} select item_id, {_cat('name')} as category from nm")
+def _(s, d):
+    return _named(s, d).select("item_id", tx.location_category(F.col("name")).alias("category"))
+
+
+@query("category_label", "with " + _NAMED + ", c as (select item_id, " + _cat("name") + " as c from nm) select item_id, coalesce(case c " + " ".join(f"when '{k}' then '{x}'" for k, x in lex.CATEGORY_LABELS.items()) + f" end, '{lex.DEFAULT_LABEL}') as label from c")
+def _(s, d):
+    return _named(s, d).select("item_id", tx.category_label(F.col("name")).alias("label"))
+
+
+@query("active_categories", f"with {_NAMED} select item_id, array_to_string(list_filter([" + ", ".join(f"case when {_cat('name').split(' then ')[i].split('when ', 1)[1]} then '{n}' end" for i, n in enumerate(lex.CATEGORIES)) + "], lambda x: x is not null), ',') as categories from nm")
+def _(s, d):
+    return _named(s, d).select("item_id", F.array_join(tx.active_categories(F.col("name")), ",").alias("categories"))
+
+
+@query("word_match", f"with {_NAMED} select item_id, len(list_filter(regexp_extract_all({_LOWER.format('name')}, '[\\p{{L}}\\p{{N}}_]+'), lambda x: starts_with(x, 'sokak') and substr(x, 6) in ('', {', '.join(repr(x) for x in lex.SUFFIXES)}))) > 0 as street, contains({_LOWER.format('name')}, 'ara sokak') as alley from nm")
+def _(s, d):
+    n = F.col("name")
+    return _named(s, d).select("item_id", tx.word_match(n, "sokak").alias("street"), tx.word_match(n, "ara sokak").alias("alley"))
+
+
+@query("map_genre", "select distinct ['Gerilim/Suç', 'Komedi / x', 'Kara polisiye', 'Belgesel', 'Tarihi', 'romantik dram'][p_size % 6 + 1] as raw, ['Polisiye', 'Komedi', 'Polisiye', null, 'Tarihi', 'Romantik'][p_size % 6 + 1] as genre from part")
+def _(s, d):
+    raw = F.element_at(F.array(*map(F.lit, ("Gerilim/Suç", "Komedi / x", "Kara polisiye", "Belgesel", "Tarihi", "romantik dram"))), F.col("p_size") % 6 + 1)
+    return v.table(s, d, "part").select(raw.alias("raw")).distinct().select("raw", tx.map_genre(F.col("raw")).alias("genre"))
+
+
+@query("title_normalise", "select p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(p_name || ' (2001)  [aug' || p_size || ']')), '\\s*\\(.*?\\)', '', 'g'), '\\s*\\[aug\\d+\\]$', ''), '\\s+', ' ', 'g')) as title from part")
+def _(s, d):
+    return v.table(s, d, "part").select("p_partkey", tx.normalize_title(F.concat("p_name", F.lit(" (2001)  [aug"), F.col("p_size").cast("string"), F.lit("]"))).alias("title"))
+
+
+@query("intent_extract", "with c as (select conv_id, turn, lower(['3 day historical trip to Cappadocia', 'cultural İzmir', 'plain', 'Istanbul 12days'][turn % 4 + 1] || ' ' || text) as p from conversations where role = 'user') select conv_id, turn, case when contains(p, 'cappadocia') then 'Nevşehir' when contains(p, 'kapadokya') then 'Nevşehir' when contains(p, 'istanbul') then 'İstanbul' when contains(p, 'izmir') then 'İzmir' end as region, case when regexp_matches(p, 'historical|tarihi') and regexp_matches(p, 'cultural|kültür') then 'tarihi,kültürel' when regexp_matches(p, 'cultural|kültür') then 'kültürel' else 'tarihi' end as themes, coalesce(try_cast(nullif(regexp_extract(p, '(\\d+)\\s*day', 1), '') as int), 1) as days from c".replace("cultural İzmir", "cultural izmir"))
+def _(s, d):
+    starts = F.array(*map(F.lit, ("3 day historical trip to Cappadocia", "cultural izmir", "plain", "Istanbul 12days")))
+    c = v.table(s, d, "conversations").where("role = 'user'").withColumn("p", F.concat(F.element_at(starts, (F.col("turn") % 4 + 1).cast("int")), F.lit(" "), "text"))
+    return c.withColumn("i", tx.intent(F.col("p"))).select("conv_id", "turn", "i.region", F.array_join("i.themes", ",").alias("themes"), "i.days")
+
+
+def _dense(s, d) -> DataFrame:
+    """Queries (ids divisible by 100) against all vectors, with a category, ranked."""
+    e = v.table(s, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("label").alias("qlabel"))
+    pairs = e.crossJoin(F.broadcast(q)).select("q", "qlabel", F.col("vec_id").alias("cand"), "label", F.round(cosine(F.col("embedding"), F.col("qe")), 6).alias("sim"))
+    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "cand")).cast("long"))
+
+
+_DENSE = f"dn as (select *, row_number() over (partition by q order by sim desc, cand) as rank from (select b.vec_id as q, b.label as qlabel, a.vec_id as cand, a.label, {_COS} as sim from embeddings a, embeddings b where b.vec_id % 100 = 0))"
+_KEYS = list(lex.CATEGORIES)
+
+
+@query("hybrid_search", f"with {_DENSE}, s1 as (select *, 0.6::double * sim + 0.4::double * case when label = qlabel then 1 else 0 end + case when label % 3 = qlabel % 3 then 0.25::double else 0 end as s0 from dn), s2 as (select *, row_number() over (partition by q order by round(s0, 6) desc, cand) as p from s1), s3 as (select q, cand, round(s0 + case when p <= 100 then case when label in (1, 4, 8, 13) then 0.15::double when label in (6, 7, 9) then -0.1::double else 0 end else 0 end, 6) as score from s2), s4 as (select *, row_number() over (partition by q order by score desc, cand) as rank from s3) select q, cand, score, rank from s4 where rank <= 5")
+def _(s, d):
+    x = _dense(s, d)
+    x = x.withColumn("s0", 0.6 * F.col("sim") + 0.4 * F.when(F.col("label") == F.col("qlabel"), 1).otherwise(0) + F.when(F.col("label") % 3 == F.col("qlabel") % 3, 0.25).otherwise(0.0))
+    x = x.withColumn("p", F.row_number().over(W.partitionBy("q").orderBy(F.desc(F.round("s0", 6)), "cand")))
+    category = F.element_at(F.array(*map(F.lit, _KEYS)), F.col("label") + 1)
+    x = x.withColumn("score", F.round(F.col("s0") + F.when(F.col("p") <= 100, retrieval.adjust(category, "Polisiye")).otherwise(0.0), 6))
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "cand")).cast("long")
+    return x.withColumn("rank", rank).where("rank <= 5").select("q", "cand", "score", "rank")
+
+
+@query("rerank_blend", f"with {_DENSE}, x as (select q, cand, rank, ((cand * 37) % 101)::double as c from dn), y as (select *, min(case when rank <= 20 then c end) over (partition by q) as lo, max(case when rank <= 20 then c end) over (partition by q) as hi, count(*) filter (rank <= 20) over (partition by q) as n from x), z as (select q, cand, case when rank <= 20 then round(0.5::double * case when n > 1 then 1 - (rank - 1) / (n - 1) else 1 end + 0.5::double * case when hi > lo then (c - lo) / (hi - lo) else 0.5 end, 6) end as combined, rank from y) select q, cand, combined, row_number() over (partition by q order by combined desc nulls last, rank) as new_rank from z")
+def _(s, d):
+    x = _dense(s, d).withColumn("cross", ((F.col("cand") * 37) % 101).cast("double"))
+    return retrieval.rerank(x.select("q", "cand", "rank", "cross")).select("q", "cand", "combined", "new_rank")
+
+
+@query("metadata_filter", f"with {_DENSE}, x as (select q, qlabel, cand, label, round(sim - case when cand % 4 = q % 4 then 0 else 1 end + case when label = qlabel then 0.25::double else 0 end, 6) as s from dn), r as (select *, row_number() over (partition by q order by s desc, cand) as rank from x) select q, cand, s as score, rank from r where rank <= 5")
+def _(s, d):
+    x = _dense(s, d)
+    score = F.round(retrieval.metadata_filter(F.col("sim"), F.col("cand") % 4 == F.col("q") % 4, F.col("label") == F.col("qlabel")), 6)
+    x = x.withColumn("score", score).withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "cand")).cast("long"))
+    return x.where("r <= 5").select("q", "cand", "score", F.col("r").alias("rank"))
+
+
+# --- tagging, annotation, evaluation -----------------------------------------------------------------------
+
+
+def _sentences(s, d) -> DataFrame:
+    return v.item(s, d).select(F.col("item_id").alias("sent"), F.concat(_phrase(F.col("item_id")), F.lit(" "), "text", F.lit(" "), _phrase(F.col("item_id") + 3)).alias("sentence"))
+
+
+@query("bio_tags")
+def _(s, d):
+    t = _sentences(s, d).select("sent", F.posexplode(tagging.bio_tags(F.col("sentence"))).alias("pos", "t"))
+    return t.select("sent", "pos", "t.token", "t.tag")
+
+
+@query("bio_entity_metrics")
+def _(s, d):
+    t = _sentences(s, d).select("sent", F.posexplode(tagging.bio_tags(F.col("sentence"))).alias("pos", "t")).select("sent", "pos", F.col("t.tag").alias("tag"))
+    blurred = t.withColumn("tag", F.when((F.col("sent") + F.col("pos")) % 7 == 0, "O").otherwise(F.col("tag")))
+    return tagging.entity_metrics(t, blurred)
+
+
+@query("label_alignment", "with t as (select p_partkey, unnest([-100, 1, 2, 0, -100]) as id from part) select id, count(*) as n from t group by id")
+def _(s, d):
+    tags = F.array(F.lit("B-MEKAN"), F.lit("X"))
+    ids = F.array(F.lit(None).cast("int"), F.lit(0), F.lit(0), F.lit(1), F.lit(None).cast("int"))
+    a = v.table(s, d, "part").select(F.explode(tagging.align_labels(tags, ids, {"O": 0, "B-MEKAN": 1, "I-MEKAN": 2})).alias("id"))
+    return a.groupBy("id").agg(F.count("*").alias("n"))
+
+
+_GRADED = f"{_DENSE}, gr as (select q, cand, rank, label, qlabel, case when label = qlabel then 2.0 when label % 3 = qlabel % 3 then 1.0 else 0.0 end::double as grade from dn)"
+
+
+def _graded(s, d) -> DataFrame:
+    return _dense(s, d).withColumn("grade", F.when(F.col("label") == F.col("qlabel"), 2.0).when(F.col("label") % 3 == F.col("qlabel") % 3, 1.0).otherwise(0.0))
+
+
+@query("annotation_set", f"with {_GRADED} select q, cand, rank, cand = q as is_gold from gr where rank <= 5 or cand = q")
+def _(s, d):
+    return annotation.candidates(_dense(s, d).withColumn("is_gold", F.col("cand") == F.col("q"))).select("q", "cand", "rank", "is_gold")
+
+
+@query("annotation_scores", f"with {_GRADED}, b as (select *, row_number() over (partition by q order by grade desc, rank) as best from gr), p as (select q, count(*) filter (rank <= 5 and grade >= 1.5) as st, count(*) filter (rank <= 5 and grade >= 0.5) as le, count(*) filter (rank <= 5) as n, sum(case when rank <= 5 then (pow(2, grade) - 1) / log2(rank + 1) end) as dcg, sum(case when best <= 5 then (pow(2, grade) - 1) / log2(best + 1) end) as idcg from b group by q) select count(*) as queries, round(avg(st / n), 6) as p_strict, round(avg(le / n), 6) as p_lenient, round(avg((st > 0)::int), 6) as hit_strict, round(avg((le > 0)::int), 6) as hit_lenient, round(avg(case when idcg > 0 then dcg / idcg else 0 end), 6) as ndcg from p")
+def _(s, d):
+    return metrics.graded(_graded(s, d).select("q", "rank", "grade"))
+
+
+@query("annotation_queries")
+def _(s, d):
+    return annotation.stratified(v.table(s, d, "documents").select("doc_id", "source"), "source", "doc_id", 50)
+
+
+@query("rater_agreement", """with t as (select quality as a, toxic as b, count(*)::double as n from labels group by all),
+e as (select x.a, y.b, coalesce(t.n, 0) as n, x.r * y.c / (select sum(n) from t) as e, pow(x.a - y.b, 2) / 4 as w from (select a, sum(n) as r from t group by a) x cross join (select b, sum(n) as c from t group by b) y left join t on t.a = x.a and t.b = y.b),
+rk as (select rank() over (order by quality) + (count(*) over (partition by quality) - 1) / 2.0 as ra, rank() over (order by toxic) + (count(*) over (partition by toxic) - 1) / 2.0 as rb from labels)
+select sum(n)::bigint as n, round(sum(case when a = b then n else 0 end) / sum(n), 6) as exact, round(sum(case when abs(a - b) <= 1 then n else 0 end) / sum(n), 6) as within_one, round(case when sum(w * e) > 0 then 1 - sum(w * n) / sum(w * e) else 0 end, 6) as kappa, (select round(corr(ra, rb), 6) from rk) as spearman from e""")
+def _(s, d):
+    return metrics.agreement(v.table(s, d, "labels"), "quality", "toxic")
+
+
+@query("bootstrap_ci")
+def _(s, d):
+    return metrics.bootstrap_ci(v.table(s, d, "labels").select(F.col("quality").cast("double").alias("hit")))
+
+
+@query("paired_bootstrap")
+def _(s, d):
+    return metrics.paired_bootstrap(v.table(s, d, "labels").select(F.col("quality").cast("double").alias("a"), F.col("toxic").cast("double").alias("b")))
+
+
+@query("mcnemar", "with c as (select count(*) filter (vec_id % 3 <> 0 and vec_id % 7 = 0) as b01, count(*) filter (vec_id % 3 = 0 and vec_id % 7 <> 0) as b10 from embeddings where vec_id < 60), t as (select b01, b10, unnest(range(0, least(b01, b10) + 1)) as i from c) select b01, b10, round(least(1.0, 2 * sum(exp(lgamma(b01 + b10 + 1) - lgamma(i + 1) - lgamma(b01 + b10 - i + 1) - (b01 + b10) * ln(2)))), 6) as p from t group by 1, 2".replace(" where vec_id < 60", ""))
+def _(s, d):
+    e = v.table(s, d, "embeddings")
+    return metrics.mcnemar(e.select((F.col("vec_id") % 3 == 0).cast("int").alias("a"), (F.col("vec_id") % 7 == 0).cast("int").alias("b")))
+
+
+@query("text_classifier_report")
+def _(s, d):
+    lab = v.table(s, d, "labels").join(v.table(s, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
+    split = preparation.grouped_split(lab, "doc_id", "label")
+    rows = lab.join(split.drop("label"), "doc_id")
+    model = classify.fit(rows.where("split = 'train'"))
+    return metrics.classification(classify.predict(model, rows.where("split <> 'train'")))
+
+
+@query("events_windowed", "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def _(s, d):
+    return windowed_counts(v.table(s, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
