@@ -99,7 +99,8 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int
         whole = min(most, math.floor(target / size + 1e-12)) if size else 0
         rest = max(0.0, target - whole * size)
         rows.append((k, size, target, whole, rest, _scale(found[k], rest)))
-    sources = spark.createDataFrame(rows, "key string, source_size bigint, target double, whole int, rest double, scale double")
+    # written, so that its size is known: joins send it as it is a row a source, and no source is gathered in a task
+    sources = materialise(spark.createDataFrame(rows, "key string, source_size bigint, target double, whole int, rest double, scale double"), "sources")
 
     open_ = sources.select("key", "rest", "scale", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
     for k in range(ROUNDS):
@@ -120,6 +121,7 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int
     # the untaken document that fills best what is left
     state = _ranked(narrow.join(cuts, "key"), seed).withColumn("in", _taken())
     left = state.groupBy("key").agg((F.max("rest") - F.sum(F.when(F.col("in"), F.col("size")).otherwise(0))).alias("gap"))
+    left = materialise(left, "gaps")
     fits = state.where("not `in` and size > 0").join(left, "key").withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
     fill = fits.groupBy("key").agg(F.min(F.struct("off", *order)).alias("fill"))
     return materialise(cuts.join(fill, "key", "left"), "plan")
