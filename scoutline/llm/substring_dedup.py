@@ -307,13 +307,14 @@ def _large(segments: DataFrame) -> DataFrame:
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """(did, th, b, e): bytes b to e of a text are covered by strings that also start elsewhere. keyed: did, th, text."""
     found = materialise(keyed.mapInArrow(_occurrences, "did bigint, th bigint, a bigint, s bigint, b int, e int, off int"), "anchors")
-    twice = found.groupBy("a").count().where("count > 1").select("a")
+    # written, so that the join has an exchange of its own on each side and Spark can split what a frequent anchor brings
+    twice = materialise(found.groupBy("a").count().where("count > 1").select("a"), "twice")
     found = materialise(found.join(twice, "a", "left_semi"), "repeated").select("did", "th", "a", "s", "b", "e", "off")
     place = F.struct("did", "th", "b", "e", "off")
     segments = materialise(found.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(place).alias("at")), "segments")
     whole = found.join(segments.where("n > 1").select("a", "s"), ["a", "s"], "left_semi").select("did", "th", "b", "e")
 
-    differ = segments.groupBy("a").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("a", "k")
+    differ = materialise(segments.groupBy("a").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("a", "k"), "differ")
     wanted = segments.join(differ, "a").select("a", "s", "n", "k", "at.*")
     by_text = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("a", "s", "n", "b", "e", "off")).alias("wanted"))
     cut = keyed.join(by_text.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "wanted").mapInArrow(_cut, SEGMENT)
