@@ -296,7 +296,8 @@ def _large(segments: DataFrame) -> DataFrame:
     schema = "a bigint, s bigint, n bigint, did bigint, th bigint, b int, o int, g binary"
 
     def shared(rows):
-        twice = rows.groupBy("a", "o", "g").agg(F.countDistinct("s").alias("k")).where("k > 1")
+        # an anchor, a segment and an offset give one row, so rows can be counted; the table is written so that the join can be split
+        twice = materialise(rows.groupBy("a", "o", "g").agg(F.count("*").alias("k")).where("k > 1").select("a", "o", "g"), "shared")
         return rows.join(twice, ["a", "o", "g"], "left_semi")
 
     cores = shared(segments.mapInArrow(_hashed("core"), schema)).groupBy("a", "s").agg(F.collect_set("o").alias("lows"))
@@ -322,7 +323,8 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     large = differ.where(F.col("k") > LARGE).select("a")
     out = whole.unionByName(cut.join(large, "a", "left_anti").repartition("a").sortWithinPartitions("a", "s").mapInArrow(_refined, SPAN))
     if not large.isEmpty():
-        out = out.unionByName(_large(cut.join(large, "a", "left_semi").select("a", "s", "n", "did", "th", "b", "off", "seg")))
+        segments = cut.join(large, "a", "left_semi").select("a", "s", "n", "did", "th", "b", "off", "seg")
+        out = out.unionByName(_large(materialise(segments.dropDuplicates(["a", "s"]), "large")))
     return out
 
 
