@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from scoutline.llm.common import materialise
+
 #: Bytes of a window, of a byte's vector, widths of the filters and filters of each width.
 WINDOW, DEPTH, WIDTHS, FILTERS = 256, 8, (3, 4, 5), 16
 #: The sample: rows of each language, windows of each row, characters of a row that are looked at.
@@ -121,10 +123,12 @@ class Network:
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
     """A network from docs (doc_id, text, lang), or None if nothing is labelled."""
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    labelled = docs.where((rest != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", F.substring("text", 1, CHARS).alias("text"), F.xxhash64("doc_id", F.lit(SEED)).alias("h"))
-    # ranks are limited before the shuffle, so a language's task gets per_language rows from each task at most
+    labelled = docs.where((rest != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # identifiers are ranked first, and limited before the shuffle, so a language's task gets per_language of them from each task at most
     w = W.partitionBy("lang").orderBy("h", "doc_id")
-    rows = labelled.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_language).drop("rank").collect()
+    ids = labelled.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(SEED)).alias("h")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_language)
+    ids = materialise(ids.select("lang", "doc_id", "h").distinct(), "sample")  # then their texts: a bounded table, sent if it is small
+    rows = labelled.select("lang", "doc_id", F.substring("text", 1, CHARS).alias("text")).join(ids, ["lang", "doc_id"]).collect()
     rows.sort(key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"]))
     labels = sorted({r["lang"] for r in rows})
     if not labels:
