@@ -183,17 +183,17 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with docs' columns."""
     found = exact_dedup(docs)
-    by_id = materialise(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.collect_set(F.when(F.col("kept"), F.col("text_sha256"))).alias("shas")).where("size(shas) > 0"), "kept")
-    once = docs.join(by_id.where("rows = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    by_id = materialise(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or("kept").alias("stays")).where("stays"), "kept")
+    once = docs.join(by_id.where("rows = 1 and doc_id is not null").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
     # rows that share a doc_id, or have none, are told apart by their texts
-    several = by_id.where("rows > 1 or doc_id is null")
+    several = by_id.where("rows > 1 or doc_id is null").select(F.col("doc_id").alias("of"))
     if several.isEmpty():
         return once
+    stay = found.where("kept").join(several, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("doc_id", F.col("text_sha256").alias("digest"))
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), rf"[{SPACE}]+", " ")
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.sha2(text, 256).alias("sha"), held)
-    several = several.select("doc_id", F.explode("shas").alias("sha"))
-    again = rows.join(several, rows["id"].eqNullSafe(several["doc_id"]) & (rows["sha"] == several["sha"]), "left_semi")
+    again = rows.join(stay, rows["id"].eqNullSafe(stay["doc_id"]) & (rows["sha"] == stay["digest"]), "left_semi")
     return once.unionByName(again.dropDuplicates(["id", "sha"]).select("row.*"))
 
 
