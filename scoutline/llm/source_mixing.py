@@ -150,7 +150,8 @@ def take(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     narrow = docs.select(F.col("doc_id").cast("long"), _key(F.col("source").cast("string")).alias("key"), size_of(F.col("text")).alias("size"), held)
     out = _copies(narrow.join(plan(docs, weights, most, seed), "key"), seed)
-    return out.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), "copies"))).select("__row.*")
+    # outer, since a filter on copies would move into the join and work out the draw there many times over
+    return out.select("__row", F.explode_outer(F.array_repeat(F.lit(1), F.col("copies"))).alias("__copy")).where("__copy is not null").select("__row.*")
 
 
 QUERIES = {"op7_source_mixing": lambda spark, sf_dir: mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
