@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose ids a worker remembers (twice that many for a while), and characters of the longest of them.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+CACHE_WORDS, CACHE_CHARS = 150_000, 64
 #: Pairs of tokens whose compatibility a worker remembers.
-MEMO_PAIRS = 500_000
+MEMO_PAIRS = 250_000
 #: White space other than single blanks and line feeds between other characters.
 _UNEVEN = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z").search
 
@@ -170,6 +170,13 @@ class Encoder:
                 lines[-1] += b"".join(map(words, rest.split(" ")))
         return self.newline.join(lines)
 
+    def forget(self) -> None:
+        """Empties what was remembered, so that a worker between tasks holds the vocabulary alone."""
+        for kept in (self.words, self.mixed, self.others):
+            kept.clear()
+            kept.old = {}
+        self.memo.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -213,16 +220,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fals
         import pyarrow as pa
 
         own = encoder(*sent.value)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                ids = [own.encode(t or "") for t in part.column(1).to_pylist()]
-                columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids])]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    columns.append(pa.array(ids, pa.binary()))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        try:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 1000):
+                    part = batch.slice(k, 1000)
+                    ids = [own.encode(t or "") for t in part.column(1).to_pylist()]
+                    columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids])]
+                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    if with_ids:
+                        columns.append(pa.array(ids, pa.binary()))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+        finally:
+            own.forget()
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col(column)).mapInArrow(run, schema)
