@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scoutline.operators import annotation, cooccurrence, knowledge, metrics, places, retrieval
+from scoutline.operators import annotation, classify, cooccurrence, knowledge, metrics, places, retrieval, tagging
 
 
 def test_cooccurrence(spark):
@@ -98,3 +98,53 @@ def test_knowledge_graph(spark):
     loc = spark.createDataFrame([(5, 36.0, 26.0), (6, 36.01, 26.0)], "location_id bigint, lat double, lon double")
     nodes, edges = knowledge.graph(p, b, cast, loc)
     assert {r["relation"] for r in edges.collect()} == {"genre", "acted", "shot", "near"} and nodes.count() == 5
+
+
+def test_walks_follow_edges_and_embed(spark):
+    links = [(a, b) for g in ("x", "y") for a in [f"{g}{i}" for i in range(4)] for b in [f"{g}{i}" for i in range(4)] if a < b]
+    edges = spark.createDataFrame(links, "a string, b string")
+    walked = knowledge.walks(edges, per_node=3, length=7).checkpoint()
+    paths = {}
+    for r in walked.collect():
+        paths.setdefault(r["walk"], {})[r["pos"]] = r["node"]
+    assert len(paths) == 24 and all(sorted(p) == list(range(7)) for p in paths.values())
+    both = set(links) | {(b, a) for a, b in links}
+    assert all((p[k], p[k + 1]) in both for p in paths.values() for k in range(6))
+    matrix = knowledge.ppmi(walked).checkpoint()
+    seen = {(a, b): 0 for p in paths.values() for a in p.values() for b in p.values()}
+    for p in paths.values():
+        for i in p:
+            for j in p:
+                if i != j and abs(i - j) <= 5:
+                    seen[p[i], p[j]] += 1
+    total = sum(seen.values())
+    row = lambda x: sum(n for (a, _), n in seen.items() if a == x)
+    want = {k: math.log(n * total / (row(k[0]) * row(k[1]))) for k, n in seen.items() if n}
+    assert {(r["a"], r["b"]): r["v"] for r in matrix.collect()} == pytest.approx({k: v for k, v in want.items() if v > 1e-9})
+    vec = {r["node"]: r["vec"] for r in knowledge.embed(matrix, 4).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(vec[a], vec[b]))
+    assert len(vec) == 8 and abs(dot("x0", "y0")) < 1e-6 < dot("x0", "x0")
+
+
+def test_paired_bootstrap(spark):
+    apart = metrics.paired_bootstrap(spark.createDataFrame([(1.0, 0.0)] * 30 + [(0.0, 0.0)] * 10, "a double, b double"), reps=200).first()
+    assert apart["observed"] == 0.75 and apart["p"] < 0.05
+    same = metrics.paired_bootstrap(spark.createDataFrame([(1.0, 1.0)] * 5, "a double, b double"), reps=50).first()
+    assert same["observed"] == 0.0 and same["p"] == 1.0
+
+
+def test_entity_metrics(spark):
+    def tags(*sentences):
+        return spark.createDataFrame([(s, k, t) for s, ts in enumerate(sentences) for k, t in enumerate(ts.split())], "sent int, pos int, tag string")
+
+    got = {r["kind"]: (r["precision"], r["recall"], r["support"]) for r in tagging.entity_metrics(tags("B-P I-P O B-T", "I-P O B-P"), tags("B-P I-P O O", "B-P B-P O")).collect()}
+    assert got["P"] == (round(2 / 3, 6), round(2 / 3, 6), 3) and got["T"] == (0.0, 0.0, 1) and got["micro"] == (round(2 / 3, 6), 0.5, 4)
+
+
+@pytest.mark.parametrize("kind", ["logistic", "svm"])
+def test_classifier(spark, kind):
+    rows = [(i, f"{w} {w} film {i % 3}", y) for i, (w, y) in enumerate([("korku", "a"), ("komedi", "b"), ("tarih", "c")] * 6)]
+    docs = spark.createDataFrame([*rows, (99, None, "a")], "doc_id bigint, text string, label string")
+    model = classify.fit(docs.where("doc_id < 99"), kind)
+    got = {r["doc_id"]: (r["label"], r["predicted"]) for r in classify.predict(model, docs).collect()}
+    assert len(got) == 19 and all(a == b for i, (a, b) in got.items() if i < 99)
