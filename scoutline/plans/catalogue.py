@@ -179,22 +179,18 @@ def _(s, d):
     return places.knn_graph(v.location(s, d))
 
 
-def _one_province(s, d) -> DataFrame:
-    loc = v.location(s, d)
-    name = loc.groupBy("province").count().orderBy(F.desc("count"), "province").first()["province"]
-    return loc.where(F.col("province") == name)
-
-
 @query("shortest_path_region")
 def _(s, d):
-    p = _one_province(s, d)
-    source = p.agg(F.min("location_id")).first()[0]
-    return places.shortest_paths(places.region_graph(p), source).select("node", "dist", F.size("path").cast("long").alias("stops"))
+    p = v.location(s, d)
+    sources = p.groupBy("province").agg(F.min("location_id").alias("source"))
+    paths = places.shortest_paths(places.region_graph(p), sources.select("source"))
+    return paths.join(sources, "source").select("province", "node", "dist", F.size("path").cast("long").alias("stops"))
 
 
 @query("all_pairs_region")
 def _(s, d):
-    return places.all_pairs(places.region_graph(_one_province(s, d)))
+    p = v.location(s, d)
+    return places.all_pairs(places.region_graph(p), p).join(p.select("province", F.col("location_id").alias("i")), "i").select("province", "i", "j", "d")
 
 
 def _stops(s, d, n: int) -> DataFrame:
@@ -215,7 +211,7 @@ def _(s, d):
 
 @query("route_heuristic")
 def _(s, d):
-    return places.routes(_one_province(s, d).select(F.col("province").alias("route"), F.col("location_id").alias("seq"), "location_id", "lat", "lon"))
+    return places.routes(v.location(s, d).select(F.col("province").alias("route"), F.col("location_id").alias("seq"), "location_id", "lat", "lon"))
 
 
 @query("split_days", "with r as (select province as route, location_id, row_number() over (partition by province order by location_id) as pos, count(*) over (partition by province) as n from location) select route, location_id, pos, case when n <= 3 then 1 else ntile(3) over (partition by route order by pos) end as day from r")
