@@ -10,7 +10,8 @@ as template, so passages that a site repeats in its articles stay.
 Counting is one aggregation over (host, hash, page), so a large host is spread over all tasks.
 
 Cases: null or empty html gives an empty text; unclosed and crossing tags close as browsers close them; an
-unclosed comment, script or style ends the page; pages of any length are taken whole; equal pages count once
+unclosed comment, script, style or textarea ends the page, an unclosed svg, iframe, noscript, template or title
+ends with the element around it; a self-closed svg or iframe is empty; pages of any length are taken whole; equal pages count once
 as evidence of a template; repeated rows each get a row; a null url is a host of its own; an empty table
 gives no rows; other columns are ignored.
 """
@@ -29,13 +30,17 @@ from scoutline.llm.common import materialise
 PAGES, SHARE = 3, 0.1
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?:svg|math|iframe)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([a-z][a-z0-9_:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+#: Elements in lines of text that never are text. What is left open ends with the element around it, an svg also where a block begins.
+_MUTED = frozenset("svg math iframe noscript template title".split())
+_BREAKS = frozenset("blockquote center dd div dl dt h1 h2 h3 h4 h5 h6 hr li ol p pre table ul article main section".split())
+_INLINE = _MUTED | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 _DROPPED = frozenset("head nav footer aside form button select option object audio video canvas dialog menu map applet".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _NAMES = frozenset(
@@ -137,9 +142,14 @@ def parse(page: str) -> tuple[int, list[tuple[int, str, list]], list[int]]:
             if muted:
                 depth += (tag == muted) * (-1 if m["end"] else 1)
                 muted = muted if depth else ""
-            elif not m["end"] and m["attrs"] and _dropped(tag, m["attrs"], True)[0]:
+            elif not m["end"] and (tag in _MUTED or m["attrs"] and _dropped(tag, m["attrs"], True)[0]):
                 muted, depth, below = tag, 1, len(stack)
             continue
+        if muted in ("svg", "math") and not any(node.tag == ("foreignobject", tag)[bool(m["end"])] for node in stack):
+            if m["end"] or tag != "foreignobject" and tag not in _BREAKS:
+                continue  # a shape
+            if tag != "foreignobject":
+                muted, depth, below = "", 0, 0
         if m["end"]:
             flush()
             if any(node.tag == tag for node in stack):
@@ -150,7 +160,7 @@ def parse(page: str) -> tuple[int, list[tuple[int, str, list]], list[int]]:
                     muted, depth, below = "", 0, 0
             continue
         flush()
-        if stack[-1].tag == "p":
+        if stack[-1].tag == "p" and tag != "foreignobject":
             pop()
         if tag in _CLOSES:
             closed, scope = _CLOSES[tag]
