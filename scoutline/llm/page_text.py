@@ -1,13 +1,15 @@
 """HTML extraction with removal of site templates.
 
-A page is read once, tag by tag, into blocks of text and element subtrees. Subtrees outside the main element
-are hashed by their tags and text; Spark counts, for each host, on how many different pages a hash occurs,
-and a subtree found on many of them is template: what it holds is deleted. What never is main text goes by
+A page is read once, tag by tag, into blocks of text and element subtrees. Subtrees are hashed by their tags
+and text; Spark counts, for each host and for each first folder of its paths, on how many different pages a
+hash occurs, and a subtree found on many of them is template: what it holds is deleted. What never is main text goes by
 its element or its name (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-comments). A page's main element (article, else main) is its text if it has one, and nothing inside it counts
-as template, so passages that a site repeats in its articles stay.
+comments). A page's main element (article, else main) is its text if it has one. Inside it only a small subtree
+under an element with a class, an id or a role counts as template, and only if it holds no prose (paragraphs,
+headings, quotations, tables, code, or lines that read like sentences), so passages that a site repeats in its
+articles stay.
 
-Counting is one aggregation over (host, hash, page), so a large host is spread over all tasks.
+Counting is one aggregation over (host or folder, hash, page), so a large host is spread over all tasks.
 
 Cases: null or empty html gives an empty text; unclosed and crossing tags close as browsers close them; an
 unclosed comment, script, style or textarea ends the page, an unclosed svg, iframe, noscript, template or title
@@ -26,8 +28,12 @@ from pyspark.sql import functions as F
 
 from scoutline.llm.common import materialise
 
-#: A subtree is template on at least this many different pages of a host, and this share of them.
+#: A subtree is template on at least this many different pages of a host or of a folder of it, and this share of them.
 PAGES, SHARE = 3, 0.1
+#: Inside main elements: the most characters of a template, these elements are prose, and so are lines of over so many words.
+SMALL, WORDS = 200, 12
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table figcaption".split())
+_SENTENCE = re.compile(r"(?:\S+\s+){3}.*[.!?…][\"'”’»)]*\Z", re.S)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -52,10 +58,23 @@ _CLOSES = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd",
 
 
 class _Node:
-    __slots__ = ("tag", "drop", "kind", "parts")
+    __slots__ = ("tag", "drop", "kind", "parts", "named", "size", "prose", "hash")
 
-    def __init__(self, tag: str, drop: str, kind: int) -> None:
+    def __init__(self, tag: str, drop: str, kind: int, named: bool = False) -> None:
         self.tag, self.drop, self.kind, self.parts = tag, drop, kind, [tag]
+        self.named, self.size, self.prose, self.hash = named, 0, tag in _PROSE, None
+
+
+def _furniture(value: str) -> bool:
+    """Whether class names or an id say so: a compound by its last word (post-share), if it isn't about a neighbour (with-sidebar)."""
+    words = set(re.split(r"[^a-z0-9]+", value))
+    if words & _NAMES and not words & _MAIN_NAMES:
+        return True
+    for name in value.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+        if len(parts) > 1 and parts[-1] in _NAMES and not {"with", "has", "no", "without"} & set(parts):
+            return True
+    return False
 
 
 def _dropped(tag: str, attrs: str, in_main: bool) -> tuple[str, bool]:
@@ -71,7 +90,7 @@ def _dropped(tag: str, attrs: str, in_main: bool) -> tuple[str, bool]:
                 words = set(re.split(r"[^a-z0-9]+", value))
                 if words & _COMMENTS:
                     why = "comments"
-                elif words & _NAMES and not words & _MAIN_NAMES and tag != "article":
+                elif tag != "article" and _furniture(value):
                     why = why or "rest"
                 elif "header" in words and not in_main and not words & _MAIN_NAMES:
                     why = why or "rest"
@@ -87,13 +106,12 @@ def _dropped(tag: str, attrs: str, in_main: bool) -> tuple[str, bool]:
 
 def parse(page: str) -> tuple[int, list[tuple[int, str, list]], list[int]]:
     """(kind, blocks, hashes): the best main element (2 article, 1 main, 0 none), the blocks that are not dropped as
-    (kind, text, open subtrees), and the hashes of the subtrees outside main elements."""
+    (kind, text, open subtrees), and the hashes of the subtrees that can be template."""
     import xxhash
 
     stack = [_Node("", "", 0)]
     blocks: list[tuple[int, str, list]] = []
     hashes: list[int] = []
-    hash_of: dict[int, int] = {}
     best, buffer = 0, []
 
     def flush() -> None:
@@ -107,21 +125,25 @@ def parse(page: str) -> tuple[int, list[tuple[int, str, list]], list[int]]:
         if not text:
             return
         top = stack[-1]
-        if not top.kind:
-            top.parts.append(text)
+        top.parts.append(text)
+        top.size += len(text)
+        top.prose = top.prose or bool(_SENTENCE.match(text)) or len(text.split()) > WORDS
         if not top.drop:
-            blocks.append((top.kind, text, [] if top.kind else stack[1:]))
+            blocks.append((top.kind, text, stack[1:]))
 
     def pop() -> None:
         node = stack.pop()
-        if not node.kind and len(node.parts) > 1 and node.tag not in ("html", "body"):
-            h = xxhash.xxh3_64_intdigest("\x00".join(node.parts))
-            hash_of[id(node)] = h
+        up = stack[-1]
+        if len(node.parts) < 2 or node.tag in ("html", "body") or node.kind != up.kind:
+            return  # a main element is no part of what is around it
+        h = xxhash.xxh3_64_intdigest("\x00".join(node.parts), seed=min(node.kind, 1))
+        if not node.kind or node.named and not node.prose and node.size <= SMALL:
+            node.hash = h
             hashes.append(h)
-            kept.append(node)
-            stack[-1].parts.append(f"{h:x}")
+        up.parts.append(f"{h:x}")
+        up.size += node.size
+        up.prose = up.prose or node.prose
 
-    kept: list[_Node] = []  # keeps the identities of closed nodes
     muted, depth, below = "", 0, 0  # an inline element that is dropped, how often it is open, and the height of the stack
     at = 0
     for m in _TOKEN.finditer(page):
@@ -180,7 +202,7 @@ def parse(page: str) -> tuple[int, list[tuple[int, str, list]], list[int]]:
                 best = max(best, kind)
                 stack.append(_Node(tag, "", kind))
                 continue
-        stack.append(_Node(tag, top.drop or why, kind))
+        stack.append(_Node(tag, top.drop or why, kind, bool(re.search(r"\b(?:class|id|role)\s*=", m["attrs"], re.I))))
     if at < len(page):
         rest = page[at:]
         cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)  # a tag that the page ends in
@@ -189,7 +211,7 @@ def parse(page: str) -> tuple[int, list[tuple[int, str, list]], list[int]]:
     flush()
     while len(stack) > 1:
         pop()
-    return best, [(kind, text, [hash_of[id(n)] for n in nodes if id(n) in hash_of]) for kind, text, nodes in blocks], hashes
+    return best, [(kind, text, [n.hash for n in nodes if n.hash is not None]) for kind, text, nodes in blocks], hashes
 
 
 BLOCKS = "page_id bigint, url string, host string, sig bigint, kind int, blocks array<struct<text: string, at: array<bigint>>>, hashes array<bigint>"
@@ -220,22 +242,25 @@ def extract(pages: DataFrame, pages_min: int = PAGES, share: float = SHARE) -> D
     read = pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), "html").mapInArrow(_read, BLOCKS)
     read = materialise(read.withColumn("row", F.monotonically_increasing_id()), "pages")
 
-    size = read.groupBy("host").agg(F.countDistinct("sig").alias("host_pages"))
-    seen = read.select("host", "sig", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.countDistinct("sig").alias("n"))
-    template = seen.where(F.col("n") >= pages_min).join(size, "host").where(F.col("n") >= share * F.col("host_pages")).select("host", "h")
+    folder = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]+)/", 1)
+    places = F.array_distinct(F.array("host", F.concat("host", F.coalesce(folder, F.lit("")))))
+    size = read.select(F.explode(places).alias("place"), "sig").groupBy("place").agg(F.countDistinct("sig").alias("pages"))
+    seen = read.select(places.alias("places"), "sig", F.explode("hashes").alias("h")).select(F.explode("places").alias("place"), "sig", "h").groupBy("place", "h").agg(F.countDistinct("sig").alias("n"))
+    template = seen.where(F.col("n") >= pages_min).join(size, "place").where(F.col("n") >= share * F.col("pages")).select("place", "h")
     template = materialise(template, "template")
 
-    # only pages without a main element have blocks that a template can hold
-    loose = read.where("kind = 0").select("row", "host", F.posexplode("blocks").alias("k", "block")).select("row", "host", "k", F.explode("block.at").alias("h"))
-    gone = loose.join(template, ["host", "h"], "left_semi").groupBy("row").agg(F.collect_set("k").alias("gone"))
-    left = read.where("kind = 0").select("row", "page_id", "url", "blocks").join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    # only pages with blocks that a template can hold go through the join
+    held = F.exists("blocks", lambda b: F.size(b["at"]) > 0)
+    loose = read.where(held).select("row", places.alias("places"), F.posexplode("blocks").alias("k", "block")).select("row", F.explode("places").alias("place"), "k", "block").select("row", "place", "k", F.explode("block.at").alias("h"))
+    gone = loose.join(template, ["place", "h"], "left_semi").groupBy("row").agg(F.collect_set("k").alias("gone"))
+    left = read.where(held).select("row", "page_id", "url", "blocks").join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     rest = F.filter("blocks", lambda b, k: ~F.array_contains("gone", k))
 
     def rows(df: DataFrame, blocks, n_gone) -> DataFrame:
         text = F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n")
         return df.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), n_gone.cast("long").alias("n_template"))
 
-    return rows(read.where("kind > 0"), F.col("blocks"), F.lit(0)).unionByName(rows(left, rest, F.size("gone")))
+    return rows(read.where(~held), F.col("blocks"), F.lit(0)).unionByName(rows(left, rest, F.size("gone")))
 
 
 QUERIES = {"op8_page_text": lambda spark, sf_dir: extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))}
