@@ -274,12 +274,10 @@ def _(s, d):
 
 @query("node2vec_recommend")
 def _(s, d):
-    loc = v.location(s, d)
-    edges = v.bridge(s, d).join(v.production(s, d), "production_id").select(F.concat(F.lit("l"), "location_id").alias("a"), F.concat(F.lit("g"), "genre").alias("b")).distinct()
-    edges = edges.unionByName(loc.select(F.concat(F.lit("l"), "location_id").alias("a"), F.concat(F.lit("p"), "province").alias("b")))
-    vec = knowledge.embed(knowledge.ppmi(knowledge.walks(edges, per_node=8, length=10)), 16)
-    q = vec.where("node = 'gBUILDING'").select(F.col("vec").alias("q"))
-    return vec.where("node like 'l%'").crossJoin(F.broadcast(q)).select("node", F.round(cosine(F.col("vec"), F.col("q")), 6).alias("sim")).orderBy(F.desc("sim"), "node").limit(10)
+    edges = _kg(s, d)[1].select(F.concat_ws(":", "src_type", "src").alias("a"), F.concat_ws(":", "dst_type", "dst").alias("b"))
+    vec = knowledge.embed(knowledge.ppmi(knowledge.walks(edges)))
+    q = vec.where("node = 'genre:BUILDING'").select(F.col("vec").alias("q"))
+    return vec.where("node like 'location:%'").crossJoin(F.broadcast(q)).select("node", F.round(cosine(F.col("vec"), F.col("q")), 6).alias("sim")).orderBy(F.desc("sim"), "node").limit(10)
 
 
 # --- retrieval ---------------------------------------------------------------------------------------------
