@@ -15,28 +15,36 @@ WORD = rf"[^{SPACE}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is named."""
+    """The folder that the cluster names for checkpoints. Only a local session, where all is one machine, gets one of its own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_before.isDefined():
-            return set_before.get()
-        named = tempfile.mkdtemp(prefix="scoutline-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_before.isDefined():
+        return set_before.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scoutline-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/scoutline/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
+def materialise(df: DataFrame, name: str, run: str | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors. run: a folder of scratch() that is discarded as a whole."""
+    path = f"{run}/{name}-{uuid.uuid4().hex}" if run else scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, run: str) -> None:
+    """Deletes a folder of scratch() whose tables no later step reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

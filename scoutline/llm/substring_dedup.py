@@ -1,64 +1,85 @@
 """Removal of repeated substrings by bucket-pointer refinement.
 
-A byte goes if it lies in a string of LENGTH bytes that also starts elsewhere in the corpus.
-
-1. Anchors. Each window of WINDOW positions picks its least GRAM-byte gram, so any LENGTH bytes hold an
-   anchor that depends on them alone, and equal strings share an anchor at equal offsets. An occurrence of
-   an anchor is sent as two hashes: of the gram, and of the segment around it that holds every string of
-   LENGTH bytes with the anchor inside. Anchors that occur once are dropped.
-2. Segments that occur twice are covered whole. Where an anchor has differing segments, one text for each
-   segment is gathered under the anchor.
-3. Refinement. The positions of those segments form initial buckets by their first eight bytes and their
-   offset from the anchor; buckets are refined by sorting on the bucket identifiers of later offsets, and the
-   refined identifiers are used again for the next, twice as deep round, up to LENGTH. A position alone in
-   its bucket is out, and so is what builds on it. What shares a bucket at the end is repeated.
-4. An anchor with more than GROUP segments is refined a chunk of CHUNK offsets at a time: the core that the
-   strings of a chunk share must occur twice, and only under such a core are the strings told apart. With more
-   than LARGE segments an anchor is never gathered in a task; Spark counts the cores and then the strings
-   under them, by 128-bit hashes beside the anchor's 64 bits.
-
-Cases: null and empty texts have no bytes; a text shorter than LENGTH stays; matches do not cross rows;
-repeated rows repeat each other; runs that touch or overlap are one span; texts of any length are taken
-whole; an empty table gives no rows; other columns are ignored.
+A byte goes if it lies in a string of LENGTH bytes that also starts elsewhere in the corpus. A string's bucket is
+refined from the buckets of its parts: strings of 2, 4, ... 128, 256 and LENGTH bytes are named by their first half's
+name and the name at the later offset, and each round uses the names of the round before.
+
+1. Initial buckets. Each window of WINDOW positions picks its least GRAM-byte string, so any LENGTH bytes hold an
+   anchor that depends on them alone, and equal strings share an anchor at equal offsets. Anchors only choose where
+   to refine: the bucket of an anchor holds the segments around its occurrences, with every string of LENGTH bytes
+   around the anchor. Buckets of one occurrence are dropped.
+2. Segments whose first and last strings of LENGTH bytes have the same refined names are one class (the two strings
+   cover the segment, so all between them agree too). A class of two or more is repeated throughout; it stays in its
+   bucket as one segment. A bucket of one class is done.
+3. A bucket with differing segments is refined in one task: positions form buckets by their first eight bytes and
+   their offset from the anchor, and are refined by sorting on the bucket identifiers of later offsets; the refined
+   identifiers are used again for the next, twice as deep round, up to LENGTH. A position alone in its bucket is out,
+   and so is what builds on it. What shares a bucket at the end is repeated.
+4. Before that, a bucket of more than GROUP segments is split by the same rule, in Spark: the offsets of its strings
+   are halved, and a half's segments are dealt anew by the name of the bytes that all its strings share, which reach
+   further left or right. Classes and buckets are counted by aggregation, so a frequent passage lands in no one task;
+   classes of two or more and single buckets are decided, and the others are halved again, down to one string.
+
+Names are 64 bits and compared within an anchor's bucket (64 bits more). Cases: null and empty texts have no bytes; a
+text shorter than LENGTH stays; matches do not cross rows; repeated rows repeat each other; runs that touch or overlap
+are one span; texts of any length are taken whole (a text's wanted segments are listed beside it, a few bytes for each
+hundred of its own); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutline.llm.common import cells, materialise
+from scoutline.llm.common import cells, discard, materialise, scratch
 
 LENGTH, GRAM = 400, 128
 #: Positions of which each window picks one: any LENGTH bytes hold a whole window of grams.
 WINDOW = LENGTH - GRAM + 1
 #: Bytes before an anchor in its segment.
 BEFORE = LENGTH - GRAM
-#: Segments of an anchor that are refined together, and offsets of a chunk beyond that.
-GROUP, CHUNK = 512, 16
-#: Segments of an anchor that one task gathers.
-LARGE = 30_000
+#: Segments of a bucket that one task refines; a larger bucket is split in Spark first.
+GROUP = 1_024
 #: Bytes of segments that are refined at once.
 BATCH = 1_500_000
 #: Long texts are scanned in pieces of so many bytes.
-PIECE = 1 << 25
+PIECE = 1 << 22
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _PLACE = np.uint64((1 << 26) - 1)
 
 
-def _anchors_of_piece(data: np.ndarray) -> np.ndarray:
+def _names(data: np.ndarray) -> np.ndarray:
+    """The names of the strings of GRAM bytes from each position, by doubling."""
     h, width = data.astype(np.uint64), 1
-    for m in _MULTIPLIERS:  # grams of 2, 4, ... 128 bytes
+    for m in _MULTIPLIERS:  # strings of 2, 4, ... 128 bytes
         h = h[:-width] * m + h[width:]
         h ^= h >> np.uint64(29)
         width *= 2
+    return h
+
+
+def _joined(first: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """The name of a string from the name of its beginning and that at a later offset."""
+    h = first * _MULTIPLIERS[2] + later * _MULTIPLIERS[5]
+    h ^= h >> np.uint64(31)
+    h *= _MULTIPLIERS[3]
+    return h ^ (h >> np.uint64(29))
+
+
+def _refined_names(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The names of the strings of LENGTH bytes from the positions at: 128 bytes to 256, to LENGTH."""
+    twice = lambda x: _joined(h[x], h[x + GRAM])
+    return _joined(twice(at), twice(at + LENGTH - 2 * GRAM))
+
+
+def _picked(h: np.ndarray) -> np.ndarray:
+    """The least position of each window."""
     key = (h * _MULTIPLIERS[0] & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     n = len(key) - WINDOW + 1
-    if n < 1:
-        return np.zeros(0, np.int64)
     padded = np.full(-(-len(key) // WINDOW) * WINDOW, ~np.uint64(0))
     padded[: len(key)] = key
     rows = padded.reshape(-1, WINDOW)
@@ -68,36 +89,43 @@ def _anchors_of_piece(data: np.ndarray) -> np.ndarray:
     return picked[np.concatenate(([True], picked[1:] != picked[:-1]))].astype(np.int64)
 
 
-def anchors(text: bytes) -> np.ndarray:
-    """The positions of a text's anchors."""
-    if len(text) < LENGTH:
-        return np.zeros(0, np.int64)
-    data = np.frombuffer(text, np.uint8)
-    found = [_anchors_of_piece(data[k : k + PIECE + LENGTH - 1]) + k for k in range(0, max(1, len(data) - LENGTH + 1), PIECE)]
-    return np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The positions of a text's anchors, their names, and the names of the segments around them."""
+    size = len(text)
+    none = np.zeros(0, np.int64)
+    if size < LENGTH:
+        return none, none, none
+    data, found = np.frombuffer(text, np.uint8), []
+    for k in range(0, max(1, size - LENGTH + 1), PIECE):
+        begin, end = max(0, k - BEFORE), min(size, k + PIECE + LENGTH - 1 + BEFORE)
+        h = _names(data[begin:end])
+        at = _picked(h)
+        left, right = np.maximum(at - BEFORE, -begin), np.minimum(at + LENGTH, size - begin)
+        inside = (left >= 0) & (right <= end - begin)  # the others belong to the piece before or after
+        at, left, right = at[inside], left[inside], right[inside]
+        s = _joined(_refined_names(h, left), _refined_names(h, right - LENGTH))
+        s = _joined(s, ((right - left) * LENGTH + at - left).astype(np.uint64))
+        found.append((at + begin, _joined(h[at], h[at]).view(np.int64), s.view(np.int64)))
+    if len(found) == 1:
+        return found[0]
+    at, names, segments = (np.concatenate(x) for x in zip(*found))
+    at, first = np.unique(at, return_index=True)
+    return at, names[first], segments[first]
 
 
 def _occurrences(batches):
     import pyarrow as pa
-    import xxhash
 
-    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         out: list[list] = [[] for _ in range(7)]
         for k, text in enumerate(cells(batch.column(2))):
-            at = anchors(text)
+            at, names, segments = anchors(text)
             if not len(at):
                 continue
-            n = len(text)
-            places = at.tolist()
-            out[0].append(np.full(len(at), did[k]))
-            out[1].append(np.full(len(at), th[k]))
-            out[2].append(np.array([digest(text[p : p + GRAM]) for p in places], np.uint64).view(np.int64))
-            out[3].append(np.array([digest(text[max(0, p - BEFORE) : p + LENGTH], min(p, BEFORE)) for p in places], np.uint64).view(np.int64))
-            out[4].append(np.maximum(at - BEFORE, 0).astype(np.int32))
-            out[5].append(np.minimum(at + LENGTH, n).astype(np.int32))
-            out[6].append(np.minimum(at, BEFORE).astype(np.int32))
+            own = (np.full(len(at), did[k]), np.full(len(at), th[k]), names, segments, np.maximum(at - BEFORE, 0).astype(np.int32), np.minimum(at + LENGTH, len(text)).astype(np.int32), np.minimum(at, BEFORE).astype(np.int32))
+            for column, values in zip(out, own):
+                column.append(values)
         if out[0]:
             rows = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["did", "th", "a", "s", "b", "e", "off"])
             yield from (rows.slice(k, 20_000) for k in range(0, rows.num_rows, 20_000))
@@ -107,13 +135,13 @@ def _cut(batches):
     """One row for each wanted segment: its bytes."""
     import pyarrow as pa
 
-    names = ["a", "s", "n", "did", "th", "b", "off", "seg"]
+    names = ["a", "s", "n", "did", "th", "b", "off", "lo", "hi", "seg"]
     for batch in batches:
         texts = cells(batch.column(2))
         rows: list[list] = [[] for _ in names]
         for k, wanted in enumerate(batch.column(3).to_pylist()):
             for w in wanted:
-                for c, v in zip(rows, (w["a"], w["s"], w["n"], batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), w["b"], w["off"], texts[k][w["b"] : w["e"]])):
+                for c, v in zip(rows, (w["a"], w["s"], w["n"], batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), w["b"], w["off"], 0, BEFORE, texts[k][w["b"] : w["e"]])):
                     c.append(v)
             if len(rows[0]) >= 5_000:
                 yield _rows(pa, names, rows)
@@ -123,11 +151,12 @@ def _cut(batches):
 
 
 def _rows(pa, names, rows):
-    kinds = {"n": pa.int64(), "b": pa.int32(), "e": pa.int32(), "off": pa.int32(), "seg": pa.binary(), "g": pa.binary(), "o": pa.int32()}
+    kinds = {"b": pa.int32(), "e": pa.int32(), "off": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "seg": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(name, pa.int64())) for name, c in zip(names, rows)], names=names)
 
 
-SEGMENT = "a bigint, s bigint, n bigint, did bigint, th bigint, b int, off int, seg binary"
+SEGMENT = "a bigint, s bigint, n bigint, did bigint, th bigint, b int, off int, lo int, hi int, seg binary"
+SEGMENT_COLUMNS = [c.split()[0] for c in SEGMENT.split(", ")]
 SPAN = "did bigint, th bigint, b int, e int"
 
 
@@ -172,41 +201,6 @@ def refine(texts: list[bytes], groups: list[int], shifts: list[int]) -> list[np.
     return [bucket[a:b] >= 0 for a, b in zip(starts[:-1], starts[1:])]
 
 
-def chunks(size: int, off: int):
-    """(low, least, most) for each chunk of offsets from the anchor, low to low + CHUNK - 1, of which least to most fit a segment."""
-    for low in range(0, min(off, BEFORE) + 1, CHUNK):
-        least, most = max(low, off + LENGTH - size), min(low + CHUNK - 1, off, BEFORE)
-        if least <= most:
-            yield low, least, most
-
-
-def core(seg: bytes, off: int, low: int) -> bytes:
-    """What all strings of a chunk share; it is in a segment if any of them is."""
-    return seg[off - low : off - low - CHUNK + 1 + LENGTH]
-
-
-def by_chunks(segs: list[bytes], offs: list[int]) -> list[np.ndarray]:
-    """As refine(), for the many segments of one anchor: chunk by chunk, cores first."""
-    out = [np.zeros(len(seg), bool) for seg in segs]
-    for low in range(0, BEFORE + 1, CHUNK):
-        buckets: dict[bytes, list] = {}
-        for k, (seg, off) in enumerate(zip(segs, offs)):
-            least, most = max(low, off + LENGTH - len(seg)), min(low + CHUNK - 1, off, BEFORE)
-            if least <= most:
-                buckets.setdefault(core(seg, off, low), []).append((k, least, most))
-        shared = [x for found in buckets.values() if len(found) > 1 for x in found]
-        for o in range(low, low + CHUNK):
-            strings: dict[bytes, list[int]] = {}
-            for k, least, most in shared:
-                if least <= o <= most:
-                    strings.setdefault(segs[k][offs[k] - o : offs[k] - o + LENGTH], []).append(k)
-            for found in strings.values():
-                if len(found) > 1:
-                    for k in found:
-                        out[k][offs[k] - o] = True
-    return out
-
-
 def spans(repeated: np.ndarray, begin: int) -> list[tuple[int, int]]:
     """The runs of bytes that repeated strings of LENGTH bytes cover, from where they start."""
     at = np.flatnonzero(repeated)
@@ -229,14 +223,9 @@ def _refined(batches):
     def done():
         nonlocal n_held
         rows: list[list] = [[] for _ in names]
-        small = [g for g in held if 1 < len(g) <= GROUP]
-        flat = [(k, x) for k, g in enumerate(small) for x in g]
-        marks = refine([x[7] for _, x in flat], [k for k, _ in flat], [x[6] for _, x in flat]) if flat else []
-        todo = [(x, m) for (_, x), m in zip(flat, marks)]
-        for g in held:
-            if len(g) > GROUP:
-                todo += zip(g, by_chunks([x[7] for x in g], [x[6] for x in g]))
-        for (a, s, n, did, th, b, off, seg), m in todo:
+        flat = [(k, x) for k, g in enumerate(held) for x in g]
+        marks = refine([x[9] for _, x in flat], [k for k, _ in flat], [x[6] for _, x in flat]) if flat else []
+        for (_, (a, s, n, did, th, b, off, lo, hi, seg)), m in zip(flat, marks):
             if n == 1:
                 for x, y in spans(m[: off + 1], b):
                     for c, v in zip(rows, (did, th, x, y)):
@@ -250,7 +239,7 @@ def _refined(batches):
         for row in zip(*columns):
             if group and row[0] != group[0][0]:
                 held.append(group)
-                n_held += sum(len(x[7]) for x in group)
+                n_held += sum(len(x[9]) for x in group)
                 group = []
                 if n_held >= BATCH:
                     yield done()
@@ -261,70 +250,72 @@ def _refined(batches):
     yield done()
 
 
-def _hashed(level: str):
-    """For anchors with more than LARGE segments: a hash for each core, or for each string under a shared core."""
-
-    def run(batches):
-        import pyarrow as pa
-        import xxhash
-
-        names = ["a", "s", "n", "did", "th", "b", "o", "g"]
-        for batch in batches:
-            rows: list[list] = [[] for _ in names]
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                a, s, n, did, th, b, off, seg = row[:8]
-                for low, least, most in chunks(len(seg), off):
-                    if level == "core":
-                        found = [(low, xxhash.xxh3_128_digest(core(seg, off, low)))]
-                    elif low in row[8]:
-                        found = [(o, xxhash.xxh3_128_digest(seg[off - o : off - o + LENGTH])) for o in range(least, most + 1)]
-                    else:
-                        continue
-                    for o, g in found:
-                        for c, v in zip(rows, (a, s, n, did, th, b + off - o, o, g)):
-                            c.append(v)
-                if len(rows[0]) > 20_000:
-                    yield _rows(pa, names, rows)
-                    rows = [[] for _ in names]
-            yield _rows(pa, names, rows)
-
-    return run
-
-
-def _large(segments: DataFrame) -> DataFrame:
-    """The spans under anchors with more than LARGE segments: two counts in Spark instead of one task."""
-    schema = "a bigint, s bigint, n bigint, did bigint, th bigint, b int, o int, g binary"
-
-    def shared(rows):
-        # an anchor, a segment and an offset give one row, so rows can be counted; the table is written so that the join can be split
-        twice = materialise(rows.groupBy("a", "o", "g").agg(F.count("*").alias("k")).where("k > 1").select("a", "o", "g"), "shared")
-        return rows.join(twice, ["a", "o", "g"], "left_semi")
+def _halves(batches):
+    """The two halves of each segment's offsets: the bucket by the bytes that all strings of the half share, and the class by all bytes of its strings."""
+    import pyarrow as pa
+    import xxhash
 
-    cores = shared(segments.mapInArrow(_hashed("core"), schema)).groupBy("a", "s").agg(F.collect_set("o").alias("lows"))
-    strings = shared(segments.join(cores, ["a", "s"]).select(*segments.columns, "lows").mapInArrow(_hashed("string"), schema))
-    return strings.where("n = 1").select("did", "th", "b", (F.col("b") + LENGTH).alias("e"))
+    names = ["a", "s", "n", "did", "th", "b", "off", "lo", "hi", "seg"]
+    name = xxhash.xxh3_64_intdigest
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    for batch in batches:
+        rows: list[list] = [[] for _ in names]
+        for a, s, n, did, th, b, off, lo, hi, seg in zip(*[c.to_pylist() for c in batch.columns]):
+            middle = (lo + hi) // 2
+            for low, high in ((lo, middle), (middle + 1, hi)):
+                least, most = max(low, off + LENGTH - len(seg)), min(high, off)
+                if least <= most:
+                    bucket = name(seg[off - low : off - high + LENGTH], (a * 1_000_003 + low * 1_000 + high) & (1 << 64) - 1)
+                    body = seg[off - most : off - least + LENGTH]
+                    for c, v in zip(rows, (signed(bucket), signed(name(body, least * 1_000 + most)), n, did, th, b + off - most, most, low, high, body)):
+                        c.append(v)
+            if len(rows[0]) >= 10_000:
+                yield _rows(pa, names, rows)
+                rows = [[] for _ in names]
+        yield _rows(pa, names, rows)
+
+
+def _split(large: DataFrame, run: str) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(segments of buckets that a task can refine, spans found on the way) from the segments of larger buckets."""
+    small, found = [], []
+    while not large.isEmpty():
+        # tables are written, so that joins have exchanges of their own and Spark can split what a frequent bucket brings
+        halves = materialise(large.mapInArrow(_halves, SEGMENT), "halves", run)
+        classes = halves.groupBy("a", "s").agg(F.sum("n").alias("m"), F.min(F.struct("did", "th", "b")).alias("first"))
+        classes = materialise(classes, "classes", run)
+        twice = halves.where("n = 1").join(classes.where("m > 1").select("a", "s"), ["a", "s"], "left_semi")
+        found.append(twice.select("did", "th", "b", (F.col("b") + F.length("seg")).cast("int").alias("e")))
+        buckets = materialise(classes.groupBy("a").agg(F.count("*").alias("k"), F.min("m").alias("least")).where("k > 1 and least = 1").select("a", "k"), "buckets", run)
+        live = halves.drop("n").join(classes.join(buckets, "a"), ["a", "s"]).where(F.struct("did", "th", "b") == F.col("first"))
+        live = materialise(live.select("a", "s", F.col("m").alias("n"), "did", "th", "b", "off", "lo", "hi", "seg", "k"), "live", run)
+        small.append(live.where(F.col("k") <= GROUP).drop("k"))
+        large = live.where(F.col("k") > GROUP).drop("k")
+    return small, found
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """(did, th, b, e): bytes b to e of a text are covered by strings that also start elsewhere. keyed: did, th, text."""
-    found = materialise(keyed.mapInArrow(_occurrences, "did bigint, th bigint, a bigint, s bigint, b int, e int, off int"), "anchors")
+    spark = keyed.sparkSession
+    run = scratch(spark, "repeats")
+    found = materialise(keyed.mapInArrow(_occurrences, "did bigint, th bigint, a bigint, s bigint, b int, e int, off int"), "anchors", run)
     # written, so that the join has an exchange of its own on each side and Spark can split what a frequent anchor brings
-    twice = materialise(found.groupBy("a").count().where("count > 1").select("a"), "twice")
-    found = materialise(found.join(twice, "a", "left_semi"), "repeated").select("did", "th", "a", "s", "b", "e", "off")
+    twice = materialise(found.groupBy("a").count().where("count > 1").select("a"), "twice", run)
+    found = materialise(found.join(twice, "a", "left_semi"), "repeated", run).select("did", "th", "a", "s", "b", "e", "off")
     place = F.struct("did", "th", "b", "e", "off")
-    segments = materialise(found.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(place).alias("at")), "segments")
-    whole = found.join(segments.where("n > 1").select("a", "s"), ["a", "s"], "left_semi").select("did", "th", "b", "e")
+    classes = materialise(found.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(place).alias("at")), "segments", run)
+    whole = found.join(classes.where("n > 1").select("a", "s"), ["a", "s"], "left_semi").select("did", "th", "b", "e")
 
-    differ = materialise(segments.groupBy("a").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("a", "k"), "differ")
-    wanted = segments.join(differ, "a").select("a", "s", "n", "k", "at.*")
+    differ = materialise(classes.groupBy("a").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("a", "k"), "differ", run)
+    wanted = classes.join(differ, "a").select("a", "s", "n", "at.*")
     by_text = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("a", "s", "n", "b", "e", "off")).alias("wanted"))
     cut = keyed.join(by_text.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "wanted").mapInArrow(_cut, SEGMENT)
-    cut = materialise(cut, "cut")
-    large = differ.where(F.col("k") > LARGE).select("a")
-    out = whole.unionByName(cut.join(large, "a", "left_anti").repartition("a").sortWithinPartitions("a", "s").mapInArrow(_refined, SPAN))
-    if not large.isEmpty():
-        segments = cut.join(large, "a", "left_semi").select("a", "s", "n", "did", "th", "b", "off", "seg")
-        out = out.unionByName(_large(materialise(segments.dropDuplicates(["a", "s"]), "large")))
+    cut = materialise(cut, "cut", run)
+    many = differ.where(F.col("k") > GROUP).select("a")
+    small, by_halves = _split(materialise(cut.join(many, "a", "left_semi").select(*SEGMENT_COLUMNS).dropDuplicates(["a", "s"]), "large", run), run)
+    small = reduce(DataFrame.unionByName, small, cut.join(many, "a", "left_anti"))
+    refined = small.repartition("a").sortWithinPartitions("a", "s").mapInArrow(_refined, SPAN)
+    out = materialise(reduce(DataFrame.unionByName, by_halves, whole.unionByName(refined)), "spans")
+    discard(spark, run)
     return out
 
 
@@ -352,25 +343,26 @@ def _removed(batches):
             n_removed.append(removed)
             n_spans.append(k)
             shas.append(hashlib.sha256(rest).hexdigest())
-            kept_texts.append(rest.decode("utf-8", "replace"))
+            if batch.num_columns > 3:
+                kept_texts.append(rest.decode("utf-8", "replace"))
         columns = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(shas, pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if batch.num_columns > 3:
             columns.append(pa.array(kept_texts, pa.string()))
-            names.append("kept_text")
+            names.append("text")
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with_text: kept_text, cut characters replaced) for each row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with_text: text, what is left, cut characters replaced) for each row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
     found = repeated_spans(keyed).groupBy("did", "th").agg(F.collect_set(F.struct("b", "e")).alias("spans"))
     rows = keyed.join(found.hint("shuffle_hash"), ["did", "th"], "left")
     rows = rows.select(F.nullif("did", F.lit(-(2**63))).alias("doc_id"), "text", "spans", *([F.lit(1)] if with_text else []))
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text
     return rows.mapInArrow(_removed, schema)
 
 
-QUERIES = {"op5_suffix_dedup": lambda spark, sf_dir: remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
+QUERIES = {"op5_suffix_dedup": lambda spark, sf_dir: remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=True)}
 ORACLES: dict[str, str] = {}

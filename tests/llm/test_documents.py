@@ -147,10 +147,10 @@ def test_allocation_costs_add_up():
         assert sum(t + 1 for t in simhash_dedup.allocate(10**6, parts, agree, corr)[1]) == 4
 
 
-@pytest.mark.parametrize("group,large", [(512, 30_000), (1, 30_000), (1, 1)])
-def test_substring_dedup(spark, docs, monkeypatch, group, large):
+@pytest.mark.parametrize("group,piece", [(1_024, 1 << 22), (1, 1 << 22), (2, 1 << 12)])
+def test_substring_dedup(spark, docs, monkeypatch, group, piece):
     monkeypatch.setattr(substring_dedup, "GROUP", group)
-    monkeypatch.setattr(substring_dedup, "LARGE", large)
+    monkeypatch.setattr(substring_dedup, "PIECE", piece)
     texts = [(i, (t or "").encode()) for i, t in TEXTS]
     seen = Counter(t[k : k + 400] for _, t in texts for k in range(len(t) - 399))
     want = Counter()
