@@ -9,7 +9,7 @@ name and the name at the later offset, and each round uses the names of the roun
    to refine: the bucket of an anchor holds the segments around its occurrences, with every string of LENGTH bytes
    around the anchor. Buckets of one occurrence are dropped.
 2. Segments whose first and last strings of LENGTH bytes have the same refined names are one class (the two strings
-   cover the segment, so all between them agree too). A class of two or more is repeated throughout; it stays in its
+   cover the segment, so all between them agree too), counted in each text before anything is sent. A class of two or more is repeated throughout; it stays in its
    bucket as one segment. A bucket of one class is done.
 3. A bucket with differing segments is refined in one task: positions form buckets by their first eight bytes and
    their offset from the anchor, and are refined by sorting on the bucket identifiers of later offsets; the refined
@@ -113,21 +113,46 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, names[first], segments[first]
 
 
+def _runs(b: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs that intervals, in order, cover together."""
+    new = np.flatnonzero(np.concatenate(([True], b[1:] > e[:-1])))
+    return b[new], e[np.concatenate((new[1:] - 1, [len(e) - 1]))]
+
+
 def _occurrences(batches):
+    """A row for each anchor of a text, those with the same segment in one (n of them); and, without an anchor, the runs
+    of a text that segments found twice in it cover."""
     import pyarrow as pa
 
+    names = ["did", "th", "a", "s", "b", "e", "off", "n"]
     for batch in batches:
         did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in names]
+        missing: list[np.ndarray] = []
         for k, text in enumerate(cells(batch.column(2))):
-            at, names, segments = anchors(text)
+            at, anchor, segment = anchors(text)
             if not len(at):
                 continue
-            own = (np.full(len(at), did[k]), np.full(len(at), th[k]), names, segments, np.maximum(at - BEFORE, 0).astype(np.int32), np.minimum(at + LENGTH, len(text)).astype(np.int32), np.minimum(at, BEFORE).astype(np.int32))
-            for column, values in zip(out, own):
+            b, e, off = np.maximum(at - BEFORE, 0), np.minimum(at + LENGTH, len(text)), np.minimum(at, BEFORE)
+            _, first, which, n = np.unique(segment, return_index=True, return_inverse=True, return_counts=True)
+            anchor, segment, own = anchor[first], segment[first], [b[first], e[first], off[first], n]
+            if len(first) < len(at):
+                twice = n[which] > 1
+                runs = _runs(b[twice], e[twice])
+                m = len(runs[0])
+                fill = np.zeros(m, np.int64)
+                anchor, segment = np.concatenate((anchor, fill)), np.concatenate((segment, fill))
+                own = [np.concatenate(x) for x in zip(own, (*runs, fill, fill))]
+                missing.append(np.arange(len(anchor)) >= len(first))
+            else:
+                missing.append(np.zeros(len(anchor), bool))
+            for column, values in zip(out, (np.full(len(anchor), did[k]), np.full(len(anchor), th[k]), anchor, segment, *own)):
                 column.append(values)
-        if out[0]:
-            rows = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["did", "th", "a", "s", "b", "e", "off"])
+        if missing:
+            no_anchor = np.concatenate(missing)
+            columns = [np.concatenate(c) for c in out]
+            arrays = [pa.array(c, mask=no_anchor) if name in ("a", "s") else pa.array(c.astype(np.int32) if name in ("b", "e", "off") else c) for name, c in zip(names, columns)]
+            rows = pa.RecordBatch.from_arrays(arrays, names=names)
             yield from (rows.slice(k, 20_000) for k in range(0, rows.num_rows, 20_000))
 
 
@@ -179,7 +204,7 @@ def refine(texts: list[bytes], groups: list[int], shifts: list[int]) -> list[np.
         """New identifiers for the positions at; those alone in their bucket get none."""
         bucket[:] = -1
         if len(at):
-            order = np.argsort(keys, kind="stable")
+            order = np.argsort(keys)
             ordered = keys[order]
             first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
             number = np.cumsum(first) - 1
@@ -188,9 +213,8 @@ def refine(texts: list[bytes], groups: list[int], shifts: list[int]) -> list[np.
 
     at = np.flatnonzero(room >= 8)
     _, letters = np.unique(word[at], return_inverse=True)
-    where = np.repeat(np.array(groups, np.int64), sizes)[at] * (3 * LENGTH) + place[at]
-    _, where = np.unique(where, return_inverse=True)
-    rank(at, where.astype(np.int64) * (int(letters.max(initial=0)) + 1) + letters)
+    where = np.repeat(np.array(groups, np.int64), sizes)[at] * (3 * LENGTH) + place[at]  # fits beside the letters: a task holds few groups
+    rank(at, where * (int(letters.max(initial=0)) + 1) + letters)
     depth = 8
     while depth < LENGTH:
         step = min(depth, LENGTH - depth)  # the last round overlaps what is known
@@ -297,13 +321,14 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     """(did, th, b, e): bytes b to e of a text are covered by strings that also start elsewhere. keyed: did, th, text."""
     spark = keyed.sparkSession
     run = scratch(spark, "repeats")
-    found = materialise(keyed.mapInArrow(_occurrences, "did bigint, th bigint, a bigint, s bigint, b int, e int, off int"), "anchors", run)
+    found = materialise(keyed.mapInArrow(_occurrences, "did bigint, th bigint, a bigint, s bigint, b int, e int, off int, n bigint"), "anchors", run)
+    in_one_text = found.where("a is null").select("did", "th", "b", "e")
     # written, so that the join has an exchange of its own on each side and Spark can split what a frequent anchor brings
-    twice = materialise(found.groupBy("a").count().where("count > 1").select("a"), "twice", run)
-    found = materialise(found.join(twice, "a", "left_semi"), "repeated", run).select("did", "th", "a", "s", "b", "e", "off")
+    twice = materialise(found.where("a is not null").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a"), "twice", run)
+    found = materialise(found.join(twice, "a", "left_semi"), "repeated", run).select("did", "th", "a", "s", "b", "e", "off", "n")
     place = F.struct("did", "th", "b", "e", "off")
-    classes = materialise(found.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(place).alias("at")), "segments", run)
-    whole = found.join(classes.where("n > 1").select("a", "s"), ["a", "s"], "left_semi").select("did", "th", "b", "e")
+    classes = materialise(found.groupBy("a", "s").agg(F.sum("n").alias("n"), F.min(place).alias("at")), "segments", run)
+    whole = found.join(classes.where("n > 1").select("a", "s"), ["a", "s"], "left_semi").select("did", "th", "b", "e").unionByName(in_one_text)
 
     differ = materialise(classes.groupBy("a").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("a", "k"), "differ", run)
     wanted = classes.join(differ, "a").select("a", "s", "n", "at.*")
