@@ -3,15 +3,17 @@
 Sources, in order of code points with null last, weigh 1, 2, 3, 1, ... and share all words; a source's
 target stops at three times its words and what is over is shared anew by weight. A target of r times a
 source's words gives each of its documents floor(r) certain copies; the rest is a sample of fixed size in
-words. Documents draw a random odds u/(1-u) from their identifier, divided by the odds of their inclusion
+words. Documents draw a random odds u/(1-u) from identifier, size and text, divided by the odds of their inclusion
 probability, which follows a tempered length weight; in that order documents are taken while they fit,
 then the one that best fills what is left. The order is never sorted as a whole: the place where the words
 run out is found by three rounds of 1024 bins a source, each one aggregation of (source, bin), and only the
 last bin's documents are ordered. Nothing but a few hundred rows a source comes to the driver.
 
 Cases: null and empty texts have size 0; a source of size 0 has target 0; a null source is a source of its
-own, last; rows with the same doc_id and size are taken alike; a null doc_id draws from its size alone;
-an empty table gives no rows; other columns are ignored. The draw depends on the seed only.
+own, last; a null doc_id is drawn like any other. Rows that repeat doc_id, source and text are numbered, in the
+order of the written rows, and each number draws for itself, so a group of them is taken in part like other rows
+and does not meet in one bin; which of them is taken is left open, their number is not. An empty table gives no
+rows; other columns are ignored. The draw depends on the seed only.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from scoutline.llm.common import WORD, materialise
+from scoutline.llm.common import WORD, discard, materialise, scratch
 
 #: Weights of the sources in order, repeated.
 WEIGHTS = (1, 2, 3)
@@ -78,17 +80,45 @@ def _weight(size: Column) -> Column:
 
 
 def _ranked(df: DataFrame, seed: int) -> DataFrame:
-    """Adds q, random odds over inclusion odds, and bin, its place among 2^30; df has doc_id, size and scale."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("size"), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(2**53))
+    """Adds q, random odds over inclusion odds, and bin, its place among 2^30; df has h, no, size and scale."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.col("h"), F.col("no"), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(2**53))
     p = F.least(F.lit(SURE), F.greatest(F.lit(1e-9), F.col("scale") * _weight(F.col("size"))))
     df = df.withColumn("q", u / (1 - u) * (1 - p) / p)
     return df.withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * float(2 ** (BITS * ROUNDS))).cast("long"))
 
 
-def plan(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """One row a source: key, source_size, target, whole, scale, open_bin and the last document taken in it, and the one that fills."""
-    spark = docs.sparkSession
-    narrow = materialise(docs.select(F.col("doc_id").cast("long"), _key(F.col("source").cast("string")).alias("key"), size_of(F.col("text")).alias("size")), "sizes")
+def _narrow(docs: DataFrame) -> list[Column]:
+    """doc_id, source, key, size and h, the hash of what a document draws from."""
+    source = F.col("source").cast("string")
+    return [F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), _key(source).alias("key"), size_of(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id").cast("long"), _key(source), F.coalesce("text", F.lit(""))).alias("h")]
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds no to written rows with row (their place) and h: 0, 1, ... among equal h. Numbers go on from one written part to
+    the next, by the parts' counts, so a large group is numbered by as many tasks as wrote it."""
+    rows = rows.withColumn("part", F.shiftright("row", 33))
+    parts = rows.groupBy("h", "part").agg(F.count("*").alias("n"))
+    before = parts.select("h", "part", (F.sum("n").over(W.partitionBy("h").orderBy("part")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(W.partitionBy("h", "part").orderBy("row")) - 1
+    return rows.withColumn("inside", inside).join(before, ["h", "part"]).withColumn("no", F.col("before") + F.col("inside")).drop("part", "inside", "before")
+
+
+def _rows(docs: DataFrame, run: str) -> tuple[DataFrame, DataFrame]:
+    """(a written narrow row with no for each row of docs, the h of rows that repeat)."""
+    narrow = materialise(docs.select(*_narrow(docs)).withColumn("row", F.monotonically_increasing_id()), "narrow", run)
+    repeated = materialise(narrow.groupBy("h").count().where("count > 1").select("h"), "repeated")
+    if repeated.isEmpty():
+        return narrow.withColumn("no", F.lit(0).cast("long")), repeated
+    once = narrow.join(repeated, "h", "left_anti").withColumn("no", F.lit(0).cast("long"))
+    several = _numbered(narrow.join(repeated, "h", "left_semi"))
+    return materialise(once.unionByName(several.select(*once.columns)), "sizes"), repeated
+
+
+def plan(narrow: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
+    """One row a source: key, source_size, target, whole, scale, open_bin and the last document taken in it, and the one
+    that fills. narrow: key, size, h, no, written."""
+    spark = narrow.sparkSession
+    run = scratch(spark, "mixing")
     found: dict[str, list] = {}
     for r in narrow.groupBy("key", _weight(F.col("size")).alias("weight")).agg(F.sum("size").alias("words")).toLocalIterator():
         found.setdefault(r["key"], []).append((r["weight"], r["words"]))
@@ -100,7 +130,7 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int
         rest = max(0.0, target - whole * size)
         rows.append((k, size, target, whole, rest, _scale(found[k], rest)))
     # written, so that its size is known: joins send it as it is a row a source, and no source is gathered in a task
-    sources = materialise(spark.createDataFrame(rows, "key string, source_size bigint, target double, whole int, rest double, scale double"), "sources")
+    sources = materialise(spark.createDataFrame(rows, "key string, source_size bigint, target double, whole int, rest double, scale double"), "sources", run)
 
     open_ = sources.select("key", "rest", "scale", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
     for k in range(ROUNDS):
@@ -112,44 +142,55 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int
         upto = upto.join(open_, "key").withColumn("upto", F.col("upto") + F.col("before"))
         first = upto.where("upto > rest").groupBy("key").agg(F.min(F.struct("at", (F.col("upto") - F.col("words")).alias("before"))).alias("m"))
         none_left = 2 ** (BITS * (k + 1))  # all that is left is taken
-        open_ = materialise(open_.drop("prefix").withColumnRenamed("before", "was").join(first, "key", "left").select("key", "rest", "scale", F.coalesce("m.at", F.lit(none_left)).cast("long").alias("prefix"), F.coalesce("m.before", "was").alias("before")), "bins")
+        open_ = materialise(open_.drop("prefix").withColumnRenamed("before", "was").join(first, "key", "left").select("key", "rest", "scale", F.coalesce("m.at", F.lit(none_left)).cast("long").alias("prefix"), F.coalesce("m.before", "was").alias("before")), "bins", run)
     last = _ranked(narrow.join(open_, "key"), seed)
-    order = ["q", "doc_id", "size"]
+    order = ["q", "h", "no", "size"]
     cum = last.where("bin = prefix").withColumn("upto", F.col("before") + F.sum("size").over(W.partitionBy("key").orderBy(*order)))
     cut = cum.where("upto <= rest").groupBy("key").agg(F.max(F.struct(*order)).alias("cut"))
-    cuts = materialise(sources.drop("rest", "scale").join(open_, "key").join(cut, "key", "left").withColumnRenamed("prefix", "open_bin"), "cuts").drop("before")
+    cuts = materialise(sources.drop("rest", "scale").join(open_, "key").join(cut, "key", "left").withColumnRenamed("prefix", "open_bin"), "cuts", run).drop("before")
     # the untaken document that fills best what is left
     state = _ranked(narrow.join(cuts, "key"), seed).withColumn("in", _taken())
     left = state.groupBy("key").agg((F.max("rest") - F.sum(F.when(F.col("in"), F.col("size")).otherwise(0))).alias("gap"))
-    left = materialise(left, "gaps")
+    left = materialise(left, "gaps", run)
     fits = state.where("not `in` and size > 0").join(left, "key").withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
     fill = fits.groupBy("key").agg(F.min(F.struct("off", *order)).alias("fill"))
-    return materialise(cuts.join(fill, "key", "left"), "plan")
+    out = materialise(cuts.join(fill, "key", "left"), "plan")
+    discard(spark, run)
+    return out
 
 
 def _taken() -> Column:
-    before = F.struct("q", "doc_id", "size") <= F.col("cut")
+    before = F.struct("q", "h", "no", "size") <= F.col("cut")
     return (F.col("bin") < F.col("open_bin")) | ((F.col("bin") == F.col("open_bin")) & F.coalesce(before, F.lit(False)))
 
 
 def _copies(joined: DataFrame, seed: int) -> DataFrame:
-    """Adds copies; joined has doc_id, size and the columns of a plan."""
-    fills = F.coalesce((F.col("doc_id").eqNullSafe(F.col("fill.doc_id"))) & (F.col("size") == F.col("fill.size")), F.lit(False)) & F.col("fill").isNotNull()
+    """Adds copies; joined has h, no, size and the columns of a plan."""
+    fills = F.coalesce((F.col("h") == F.col("fill.h")) & (F.col("no") == F.col("fill.no")), F.lit(False))
     return _ranked(joined, seed).withColumn("copies", F.col("whole") + (_taken() | fills).cast("int"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, copies: one row for each row of docs (doc_id, source, text)."""
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of(F.col("text")).alias("size"))
-    out = _copies(narrow.withColumn("key", _key(F.col("source"))).join(plan(docs, weights, most, seed), "key"), seed)
+    narrow, _ = _rows(docs, scratch(docs.sparkSession, "mix"))
+    out = _copies(narrow.join(plan(narrow, weights, most, seed), "key"), seed)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
 def take(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The rows of docs as often as the mix takes them, with docs' columns."""
+    spark = docs.sparkSession
+    run = scratch(spark, "mix")
+    narrow, repeated = _rows(docs, run)
+    planned = plan(narrow, weights, most, seed)
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    narrow = docs.select(F.col("doc_id").cast("long"), _key(F.col("source").cast("string")).alias("key"), size_of(F.col("text")).alias("size"), held)
-    out = _copies(narrow.join(plan(docs, weights, most, seed), "key"), seed)
+    rows = docs.select(*_narrow(docs), held).withColumn("no", F.lit(0).cast("long"))
+    if not repeated.isEmpty():
+        several = rows.drop("no").join(repeated, "h", "left_semi").withColumn("row", F.monotonically_increasing_id())
+        several = _numbered(materialise(several, "several"))
+        rows = rows.join(repeated, "h", "left_anti").unionByName(several.select(*rows.columns))
+    discard(spark, run)
+    out = _copies(rows.join(planned, "key"), seed)
     # outer, since a filter on copies would move into the join and work out the draw there many times over
     return out.select("__row", F.explode_outer(F.array_repeat(F.lit(1), F.col("copies"))).alias("__copy")).where("__copy is not null").select("__row.*")
 
