@@ -26,8 +26,10 @@ from scoutline.llm.common import materialise
 
 #: Bytes of a window, of a byte's vector, widths of the filters and filters of each width.
 WINDOW, DEPTH, WIDTHS, FILTERS = 256, 8, (3, 4, 5), 16
-#: The sample: rows of each language, windows of each row, characters of a row that are looked at.
-PER_LANGUAGE, WINDOWS, CHARS = 400, 4, 8_000
+#: The sample: rows of each language and windows of each row.
+PER_LANGUAGE, WINDOWS = 400, 4
+#: Ranges of hashes that a language's rows are counted in before any are ranked.
+RANGES = 4_096
 EPOCHS, BATCH, RATE, SEED = 8, 64, 4e-3, 11
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]").search
@@ -120,31 +122,52 @@ class Network:
                     setattr(self, name, (getattr(self, name) - rate * a / (np.sqrt(b) + 1e-8)).astype(np.float32))
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
-    """A network from docs (doc_id, text, lang), or None if nothing is labelled."""
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(lang, doc_id, h) of the rows to learn from, the first of each language by hash. Rows are counted in ranges of
+    hashes; only the range in which a language's sample ends, and those before it, are ranked."""
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     labelled = docs.where((rest != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # identifiers are ranked first, and limited before the shuffle, so a language's task gets per_language of them from each task at most
-    w = W.partitionBy("lang").orderBy("h", "doc_id")
-    ids = labelled.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(SEED)).alias("h")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_language)
-    ids = materialise(ids.select("lang", "doc_id", "h").distinct(), "sample")  # then their texts: a bounded table, sent if it is small
-    rows = labelled.select("lang", "doc_id", F.substring("text", 1, CHARS).alias("text")).join(ids, ["lang", "doc_id"]).collect()
-    rows.sort(key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"]))
+    ids = labelled.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(SEED)).alias("h")).withColumn("range", F.shiftright("h", 64 - RANGES.bit_length() + 1))
+    counts = ids.groupBy("lang", "range").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("before", F.sum("n").over(W.partitionBy("lang").orderBy("range")) - F.col("n"))
+    wanted = materialise(upto.where(F.col("before") < per_language).select("lang", "range"), "ranges")
+    first = ids.join(wanted, ["lang", "range"], "left_semi").distinct()
+    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id")))
+    return materialise(ranked.where(F.col("rank") <= per_language).select("lang", "doc_id", "h"), "sample")
+
+
+def _drawn(batches):
+    """WINDOWS windows of each text, by hash from all of them, some cut short."""
+    import pyarrow as pa
+
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        for lang, doc_id, h, text in zip(*[c.to_pylist() for c in batch.columns]):
+            if not _LETTER(text):
+                continue
+            got, _ = windows(text)
+            rng = np.random.default_rng([SEED, h & 0xFFFFFFFF, h >> 32 & 0xFFFFFFFF])
+            for k in rng.permutation(len(got))[:WINDOWS]:
+                row = got[k].copy()
+                if rng.random() < 0.4:
+                    row[int(rng.integers(4, WINDOW)) :] = 0
+                for c, v in zip(out, (lang, h, doc_id, row.tobytes())):
+                    c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["lang", "h", "doc_id", "row"])
+
+
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
+    """A network from docs (doc_id, text, lang), or None if nothing is labelled."""
+    narrow = docs.select(F.col("lang").cast("string"), F.col("doc_id").cast("long"), "text")
+    ids = sample(narrow, per_language)
+    # texts meet a bounded table; what comes to the driver is PER_LANGUAGE x WINDOWS windows a language
+    rows = narrow.join(ids, ["lang", "doc_id"]).select("lang", "doc_id", "h", "text").where("text is not null").mapInArrow(_drawn, "lang string, h bigint, doc_id bigint, row binary").collect()
+    rows.sort(key=lambda r: (r["lang"], r["h"], r["doc_id"], bytes(r["row"])))
     labels = sorted({r["lang"] for r in rows})
     if not labels:
         return None
-    rng = np.random.default_rng(SEED)
-    x, y = [], []
-    for r in rows:
-        if not _LETTER(r["text"]):
-            continue
-        got, filled = windows(r["text"])
-        for k in rng.permutation(len(got))[:WINDOWS]:
-            row = got[k].copy()
-            if rng.random() < 0.4:
-                row[int(rng.integers(4, WINDOW)) :] = 0
-            x.append(row)
-            y.append(labels.index(r["lang"]))
+    x = [np.frombuffer(r["row"], np.uint8) for r in rows]
+    y = [labels.index(r["lang"]) for r in rows]
     net = Network(labels)
     if x:
         net.train(np.stack(x), np.array(y))
