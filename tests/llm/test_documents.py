@@ -1,6 +1,7 @@
 """Every operator on documents with nulls, empty and long texts, ties, repeated rows, an empty table and columns of its own names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -195,6 +196,61 @@ def test_mixing_comes_near_its_targets(spark):
     assert all(abs(a - b) <= 2 for a, b in out.values())
 
 
+def test_rows_without_identifier_are_drawn_singly(spark):
+    rows = [(None, "a b c d e f g h i j", "x", k) for k in range(300)] + [(i, "w " * 10, s, 0) for i, s in enumerate(["y", "z"] * 150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n int").repartition(5)
+    out = source_mixing.mix(docs)
+    for s, taken, target in out.groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+        assert abs(taken - target) <= 10
+    again = source_mixing.mix(docs.repartition(2))
+    assert Counter(map(tuple, out.collect())) == Counter(map(tuple, again.collect()))
+    got = Counter(r["n"] for r in source_mixing.take(docs).where("source = 'x'").collect())
+    assert len(got) <= 300 and sum(got.values()) == sum(r["copies"] for r in out.where("source = 'x'").collect())
+
+
+def test_mixing_follows_the_pareto_order(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 90)), rng.choice(["a", "b", "c", None])) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    uniform = F.shiftrightunsigned(F.xxhash64("h", F.lit(0).cast("long"), F.lit(source_mixing.SEED)), 11)
+    drawn = docs.select(*source_mixing._narrow(docs)).select("doc_id", "source", "size", ((uniform + 0.5) / 2.0**53).alias("u")).collect()
+    sources = sorted({r["source"] for r in drawn}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r["size"] for r in drawn if r["source"] == s) for s in sources]
+    want = {}
+    for s, size, target in zip(sources, sizes, source_mixing.targets(sizes, [1, 2, 3, 1])):
+        whole = min(3, int(target / size + 1e-12))
+        rest = target - whole * size
+        own = [r for r in drawn if r["source"] == s]
+        weight = {r["doc_id"]: round(math.log2(r["size"] + 2) * 8) / 8 for r in own}
+        low, high = 0.0, 1 / min(weight.values())
+        for _ in range(60):
+            x = (low + high) / 2
+            low, high = (x, high) if sum(min(0.999, x * weight[r["doc_id"]]) * r["size"] for r in own) < rest else (low, x)
+        p = {i: min(0.999, max(1e-9, high * w)) for i, w in weight.items()}
+        order = sorted(own, key=lambda r: r["u"] / (1 - r["u"]) * (1 - p[r["doc_id"]]) / p[r["doc_id"]])
+        taken, k = 0, 0
+        while k < len(order) and taken + order[k]["size"] <= rest:
+            taken += order[k]["size"]
+            k += 1
+        copies = {r["doc_id"]: whole + (j < k) for j, r in enumerate(order)}
+        gap = rest - taken
+        fits = [r for r in order[k:] if r["size"] and abs(r["size"] - gap) < gap]
+        if fits:
+            copies[min(fits, key=lambda r: abs(r["size"] - gap))["doc_id"]] += 1
+            best = min(abs(r["size"] - gap) for r in fits)
+            copies |= {"off": best}
+        want[s] = (copies, gap)
+    for s in sources:
+        got = {r["doc_id"]: r["copies"] for r in source_mixing.mix(docs).where(F.col("source").eqNullSafe(F.lit(s))).collect()}
+        copies = dict(want[s][0])
+        copies.pop("off", None)
+        differ = [i for i in got if got[i] != copies[i]]
+        size = {r["doc_id"]: r["size"] for r in drawn}
+        assert len(differ) in (0, 2) and len({size[i] for i in differ}) <= 1  # only the filling document may be another of its size
+
+
 def test_bpe(docs):
     import base64
 
@@ -233,6 +289,38 @@ def test_language(spark, docs):
     assert all(0 <= r["score"] <= 1 for r in odd.values())
 
 
+def test_language_sample(spark, monkeypatch):
+    monkeypatch.setattr(language_cnn, "RANGES", 16)
+    rows = [(i, "abc " * 700, "en" if i % 3 else "de") for i in range(600)] + [(i, "abc", "en") for i in range(5)] + [(None, "x", "en"), (700, None, "en"), (701, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {(r["lang"], r["doc_id"]): r["h"] for r in language_cnn.sample(docs, 50).collect()}
+    every = docs.selectExpr("doc_id", "lang", "xxhash64(doc_id, 11) h").where("crc32(cast(doc_id as string)) % 4 <> 2 and text is not null and lang is not null").distinct().collect()
+    want = {}
+    for lang in ("en", "de"):
+        want |= {(lang, r["doc_id"]): r["h"] for r in sorted((r for r in every if r["lang"] == lang), key=lambda r: (r["h"], r["doc_id"]))[:50]}
+    assert got == want
+
+
+def test_windows_come_from_the_whole_text():
+    import pyarrow as pa
+
+    text = "".join(f"{k:07d} x" for k in range(20_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 50), pa.array(range(50)), pa.array(range(50)), pa.array([text] * 50)], names=["lang", "doc_id", "h", "text"])
+    drawn = [bytes(r) for b in language_cnn._drawn([batch]) for r in b.column(3).to_pylist()]
+    at = [text.encode().find(row.rstrip(b"\0")[:40]) for row in drawn if len(row.rstrip(b"\0")) >= 40]
+    assert len(drawn) == 200 and max(at) > 150_000 and min(at) < 30_000
+
+
+def test_cotraining_report(spark):
+    rows = [(i, prose(60) if i % 2 else " ".join(w + "###" for w in prose(60).split()), "http://a.example/" if i % 2 else "http://b.example/") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, url string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id bigint, quality int")
+    out = quality_cotraining.report(docs, labels).first()
+    assert out["n"] >= 20 and min(out["content"], out["metadata"], out["both"]) >= 0.9
+    model = quality_cotraining.learn(docs, labels, pool_share=1.0)
+    assert min(model.given) > 0
+
+
 def test_cotraining(spark, docs):
     rows = [(i, prose(60) if i % 2 else " ".join(w + "###" for w in prose(60).split()), "en", f"s{i % 2}", None) for i in range(80)]
     known = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
