@@ -79,6 +79,11 @@ def one_space(text: bytes) -> bytes:
     return (b" " if text[0] in b" \t\n\v\f\r" else b"") + body + (b" " if text[-1] in b" \t\n\v\f\r" else b"")
 
 
+def one_each(rows: DataFrame, key: list[str], held: str = "row") -> DataFrame:
+    """Of the rows with one key the one that is written least, the same in every run, with the columns of the struct held."""
+    return rows.groupBy(*key).agg(F.min_by(held, F.to_json(held)).alias(held)).select(f"{held}.*")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once per row."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -8,14 +8,18 @@ agree in a part, which comes from the bits' frequencies and correlations over al
 t = 0 sends a fingerprint once, under the part's bits; with t = 1 or 2 also under each of them with one bit
 flipped, since two such neighbourhoods meet. Whatever meets under a key is verified by its full distance.
 
-Inside a bucket no pairs are sent on, only a spanning forest of its links. A bucket over BLOCK fingerprints
-is cut into blocks, and each two blocks meet in a task of their own, so no bucket lands in one task whole.
-Equal fingerprints are one node from the start; components follow by alternating stars.
+A bucket of more than BLOCK fingerprints is split by the same principle: its members differ in at most 3 of the bits
+outside the part, so of four groups of those bits they agree in one; they are sent anew under each group's bits, and
+again where a bucket stays large. Inside a bucket no pairs are sent on, only a spanning forest of its links. What is
+over BLOCK after SPLITS rounds is cut into blocks, and each two blocks meet in a task of their own, so no bucket lands
+in one task whole. Equal fingerprints are one node from the start; components follow by alternating stars.
 
 Cases: null, empty and wordless texts have fingerprint zero, which links like any other; texts with one or
 two words are one shingle; texts of any length are taken whole; repeated rows each get a row; a null doc_id
-counts for no component but gets the one its fingerprint is in; an empty table gives no rows; other columns
-are ignored.
+counts for no component_id but its fingerprint links and bridges, and it gets the id of its component (null if no row
+there has one); an empty table gives no rows; other columns are ignored. keep_one() keeps one row of each component: the
+smallest doc_id, of rows that share it the one with the least hash of its text, of rows that repeat both the one whose
+columns are written least; a component without any doc_id keeps the row with the least hash.
 """
 
 from __future__ import annotations
@@ -26,11 +30,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutline.llm.common import cells, components, materialise
+from scoutline.llm.common import cells, components, materialise, one_each, scratch
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
-#: Fingerprints of a bucket that one task compares.
-BLOCK = 8_192
+#: Fingerprints of a bucket that one task compares, and rounds in which larger buckets are split by further bits.
+BLOCK, SPLITS = 8_192, 3
 #: Buckets up to this size are compared by shifting the sorted rows.
 SHORT = 24
 #: Costs of a row sent and of a pair verified, in the same unit.
@@ -57,17 +61,17 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), and more bigint columns of docs as they are."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             prints = np.array([fingerprint(t) for t in cells(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), *(batch.column(2 + k) for k in range(len(more)))], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text"), *more).mapInArrow(run, "doc_id bigint, fp bigint" + "".join(f", {c} bigint" for c in more))
 
 
 def bit_moments(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -255,13 +259,44 @@ def _compare(batches):
         yield links(numbered(cols[:4]), cols[4].view(np.uint64), cols[5])
 
 
+def _split(batches):
+    """(part, key, used, fp, node): a row for each quarter of the bits that its bucket has not used; the key is a name for bucket and bits."""
+    import pyarrow as pa
+
+    for batch in batches:
+        part, key, used, fp, node = (batch.column(k).to_numpy() for k in range(5))
+        key, used, fp = key.view(np.uint64), used.view(np.uint64), fp.view(np.uint64)
+        for mask in np.unique(used):
+            own = np.flatnonzero(used == mask)
+            bits = [b for b in range(BITS) if not int(mask) >> b & 1]
+            for j in range(DISTANCE + 1):
+                quarter = np.uint64(sum(1 << b for b in bits[j :: DISTANCE + 1]))
+                name = (key[own] * np.uint64(0x9E3779B97F4A7C15) ^ (fp[own] & quarter)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(j)
+                name ^= name >> np.uint64(31)
+                columns = [part[own], name.view(np.int64), np.full(len(own), mask | quarter).view(np.int64), fp[own].view(np.int64), node[own]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "key", "used", "fp", "node"])
+
+
+def _large(sent: DataFrame) -> DataFrame:
+    return sent.groupBy("part", "key").count().where(F.col("count") > BLOCK).select("part", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b) links that span every component of nodes (fp, node), fp distinct."""
     plan = search_plan(*bit_moments(nodes))
-    sent = nodes.select("fp", "node").mapInArrow(_send(plan), "part int, key bigint, fp bigint, node bigint")
-    large = sent.groupBy("part", "key").count().where(F.col("count") > BLOCK)
-    large = large.select("part", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = sent.join(large, ["part", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    masks = F.element_at(F.array(*[F.lit(sum(1 << b for b in bits) - (1 << 64 if 63 in bits else 0)).cast("long") for bits, _ in plan]), F.col("part") + 1)
+    sent = nodes.select("fp", "node").mapInArrow(_send(plan), "part int, key bigint, fp bigint, node bigint").select("part", "key", masks.alias("used"), "fp", "node")
+    large, run = _large(sent), scratch(nodes.sparkSession, "buckets")
+    for _ in range(SPLITS):
+        # written, so that the join has exchanges of its own and Spark can split what a large bucket brings
+        large = materialise(large, "large", run)
+        if large.isEmpty():
+            break
+        key = ["part", "key"]
+        again = materialise(sent.join(large, key, "left_semi").select("part", "key", "used", "fp", "node").mapInArrow(_split, "part int, key bigint, used bigint, fp bigint, node bigint"), "again", run)
+        sent = materialise(sent.join(large, key, "left_anti").select(again.columns).unionByName(again), "sent", run)
+        large = _large(sent)
+    dealt = sent.drop("used").join(large, ["part", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
     # a row goes to the task of its block with each block
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
@@ -270,21 +305,40 @@ def links(nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_compare, "a bigint, b bigint")
 
 
+def _components(prints: DataFrame) -> DataFrame:
+    """(fp, component_id, component): for each fingerprint the smallest doc_id of its component, and the component's name."""
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+    linked = components(links(nodes.select("fp", F.col("fp").alias("node")))).join(nodes, F.col("node") == F.col("fp")).select("fp", "component", "low")
+    linked = materialise(linked, "linked")
+    ids = linked.groupBy("component").agg(F.min("low").alias("least"))
+    linked = linked.join(ids, "component").select("fp", "component", "least")
+    named = nodes.join(linked, "fp", "left")
+    return named.select("fp", F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"), F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row for each row of docs (doc_id, text)."""
     prints = materialise(fingerprints(docs), "prints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = components(links(nodes.where("node is not null")))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = prints.join(named, "fp")
+    out = prints.join(_components(prints), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with docs' columns; rows without doc_id stay."""
-    stay = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of each component, with docs' columns."""
+    text = F.coalesce("text", F.lit(""))
+    own = [F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")]
+    prints = materialise(fingerprints(docs.select("doc_id", "text", *own[1:]), "t1", "t2"), "prints")
+    rows = prints.groupBy("fp", "doc_id", "t1", "t2").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), "t1", "t2", "n")).alias("stay")
+    stay = materialise(rows.join(_components(prints), "fp").groupBy("component").agg(least).select("stay.*"), "stay")
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+    def kept(wanted: DataFrame) -> DataFrame:
+        left, right = docs.select(*own, held), wanted.select(F.col("id").alias("of"), F.col("t1").alias("u1"), F.col("t2").alias("u2")).hint("shuffle_hash")
+        return left.join(right, F.col("id").eqNullSafe(F.col("of")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left_semi")
+
+    once, several = kept(stay.where("n = 1")).select("row.*"), stay.where("n > 1")
+    return once if several.isEmpty() else once.unionByName(one_each(kept(several), ["id", "t1", "t2"]))
 
 
 QUERIES = {"op9_simhash": lambda spark, sf_dir: near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
