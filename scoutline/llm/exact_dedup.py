@@ -20,13 +20,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutline.llm.common import SPACE, cells, materialise, one_space
+from scoutline.llm.common import SPACE, cells, materialise, one_each, one_space
 
 #: Entries and identifiers that a memtable holds before it is flushed.
 MEMTABLE_IDS = 200_000
 #: Identifiers in one row of a run.
 ENTRY_IDS = 4_096
-#: Bytes of the largest filter that is broadcast; beyond it the second pass sends every text.
+#: Bytes of the largest filter that is broadcast; with more digests than fit it well, it lets more texts through.
 FILTER_BYTES = 16 << 20
 #: Bytes of text that the second pass holds before it sends them on.
 VERIFY_BYTES = 32 << 20
@@ -85,21 +85,20 @@ def _memtable(digest, full: frozenset | None):
     return flush
 
 
-def _positions(n_bits: int) -> list:
-    """Four bit positions from a digest's own bytes, as Spark computes them."""
-    return [F.pmod(F.conv(F.hex(F.substring("key", 1 + 4 * k, 4)), 16, 10).cast("long"), F.lit(n_bits)) for k in range(4)]
+def _positions(n_bits: int, n: int) -> list:
+    """n bit positions from a digest's own bytes, as Spark computes them."""
+    return [F.pmod(F.conv(F.hex(F.substring("key", 1 + 4 * k, 4)), 16, 10).cast("long"), F.lit(n_bits)) for k in range(n)]
 
 
-def _filter(keys: DataFrame, n_keys: int):
-    """The bits of a Bloom filter, or None if it would be larger than FILTER_BYTES. At most one row a word comes back."""
-    n_bits = 1 << max(10, int(n_keys * 10).bit_length())
-    if n_bits // 8 > FILTER_BYTES:
-        return None
-    words = keys.select(F.explode(F.array(*_positions(n_bits))).alias("at")).groupBy((F.col("at") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("mask"))
+def _filter(keys: DataFrame, n_keys: int) -> tuple[np.ndarray, int]:
+    """The bits of a Bloom filter of at most FILTER_BYTES, and the bits that a digest sets. At most one row a word comes back."""
+    n_bits = 1 << min(max(10, int(n_keys * 10).bit_length()), max(32, FILTER_BYTES * 8).bit_length() - 1)
+    n = min(4, max(1, round(0.7 * n_bits / n_keys)))
+    words = keys.select(F.explode(F.array(*_positions(n_bits, n))).alias("at")).groupBy((F.col("at") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("mask"))
     bits = np.zeros(n_bits // 32, np.uint32)
     for word, mask in words.toLocalIterator():
         bits[word] = mask
-    return bits
+    return bits, n
 
 
 def _hits(digest, sent):
@@ -108,8 +107,8 @@ def _hits(digest, sent):
     def pick(tasks):
         import pyarrow as pa
 
-        bits = sent.value if sent is not None else None
-        n_bits = len(bits) * 32 if bits is not None else 0
+        bits, n = sent.value
+        n_bits = len(bits) * 32
         schema = pa.schema([("key", pa.binary()), ("text", pa.binary())])
         held: dict[bytes, list[bytes]] = {}
         n_held = 0
@@ -126,10 +125,9 @@ def _hits(digest, sent):
             for text in cells(batch.column(0)):
                 text = one_space(text)
                 key = digest(text)
-                if bits is not None:
-                    at = [int.from_bytes(key[4 * k : 4 * k + 4], "big") % n_bits for k in range(4)]
-                    if not all(bits[x >> 5] >> np.uint32(x & 31) & np.uint32(1) for x in at):
-                        continue
+                at = [int.from_bytes(key[4 * k : 4 * k + 4], "big") % n_bits for k in range(n)]
+                if not all(bits[x >> 5] >> np.uint32(x & 31) & np.uint32(1) for x in at):
+                    continue
                 texts = held.setdefault(key, [])
                 if text not in texts:
                     texts.append(text)
@@ -159,8 +157,7 @@ def index(docs: DataFrame, digest=sha256) -> tuple[DataFrame, DataFrame]:
     more = compacted.where("group_size > 1").select("key")
     n_more = more.count()
     if n_more:
-        bits = _filter(more, n_more)
-        sent = spark.sparkContext.broadcast(bits) if bits is not None else None
+        sent = spark.sparkContext.broadcast(_filter(more, n_more))
         texts = narrow.select("text").mapInArrow(_hits(digest, sent), "key binary, text binary")
         differ = texts.groupBy("key").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least <> most")
         clash = [bytes(r[0]) for r in differ.select("key").toLocalIterator()]  # none for SHA-256, short of a broken hash
@@ -194,7 +191,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.sha2(text, 256).alias("sha"), held)
     again = rows.join(stay, rows["id"].eqNullSafe(stay["doc_id"]) & (rows["sha"] == stay["digest"]), "left_semi")
-    return once.unionByName(again.dropDuplicates(["id", "sha"]).select("row.*"))
+    return once.unionByName(one_each(again, ["id", "sha"]))
 
 
 QUERIES = {"op1_exact_dedup": lambda spark, sf_dir: exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
