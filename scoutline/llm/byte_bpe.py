@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import sys
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,7 +30,10 @@ _UNEVEN = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z").search
 
 
 class Encoder:
-    def __init__(self, rank_lines: bytes, pattern: str) -> None:
+    """blanks_part: the pattern begins a piece at every single blank and line feed between other characters and joins letters to
+    the blank before them, so that texts can be looked up word by word. Of other patterns every piece is found by the pattern."""
+
+    def __init__(self, rank_lines: bytes, pattern: str, blanks_part: bool = False) -> None:
         import ahocorasick
         import regex
 
@@ -44,6 +46,7 @@ class Encoder:
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.find = regex.compile(pattern).findall
+        self.blanks_part = blanks_part
         self.halves: dict[int, tuple[int, int]] = {}  # the last merge that makes a token
         self.joined: dict[tuple[int, int], int] = {}  # and its inverse
         self.automaton = ahocorasick.Automaton()
@@ -157,10 +160,10 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The packed ids (little-endian, 32 bits). Where single blanks and line feeds stand between other
-        characters the pattern always parts the text, so words are looked up one by one."""
+        characters and the pattern parts the text there, words are looked up one by one."""
         if not text:
             return b""
-        if _UNEVEN(text):
+        if not self.blanks_part or _UNEVEN(text):
             return self.piece(text)
         words, lines = self.words.__getitem__, []
         for line in text.split("\n"):
@@ -199,22 +202,24 @@ class _Kept(dict):
         return made
 
 
-def encoder(rank_lines: bytes, pattern: str) -> Encoder:
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder(rank_lines: bytes, pattern: str, blanks_part: bool = False) -> Encoder:
     """One encoder for each worker process: the automaton is built once."""
-    kept = sys.__dict__.setdefault("_scoutline_encoders", {})
-    key = (hashlib.sha256(rank_lines).digest(), pattern)
-    if key not in kept:
-        kept[key] = Encoder(rank_lines, pattern)
-    return kept[key]
+    key = (hashlib.sha256(rank_lines).digest(), pattern, blanks_part)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(rank_lines, pattern, blanks_part)
+    return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, column: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, column: str = "text", blanks_part: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs (doc_id, text); with_ids: also the packed ids.
 
     The rank file is read on the driver and sent along (under 1 MB), so executors need no copy of it.
     """
     with open(ranks_path, "rb") as f:
-        sent = docs.sparkSession.sparkContext.broadcast((f.read(), pattern))
+        sent = docs.sparkSession.sparkContext.broadcast((f.read(), pattern, blanks_part))
 
     def run(batches):
         import pyarrow as pa
@@ -258,7 +263,7 @@ def public(docs: DataFrame, **more) -> DataFrame:
     """With the public multilingual vocabulary."""
     import public_tokenizers
 
-    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, **more)
+    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, blanks_part=True, **more)
 
 
 QUERIES = {"op10_byte_bpe": lambda spark, sf_dir: public(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
