@@ -118,8 +118,10 @@ def test_simhash(docs, monkeypatch, block):
     assert simhash_dedup.keep_one(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("block", [8192, 2])
 @pytest.mark.parametrize("thresholds", [(2, 0), (1, 1), (1, 0, 0), (2, 0, -1), (0, 0, 0, 0), (3, -1, 0)])
-def test_every_allocation_finds_all_links(spark, monkeypatch, thresholds):
+def test_every_allocation_finds_all_links(spark, monkeypatch, thresholds, block):
+    monkeypatch.setattr(simhash_dedup, "BLOCK", block)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = {int(x) for x in base}
@@ -260,7 +262,7 @@ def test_bpe(docs):
     raw = open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
     known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    own = byte_bpe.Encoder(raw, P.PATTERN)
+    own = byte_bpe.Encoder(raw, P.PATTERN, blanks_part=True)
     rng = random.Random(1)
     parts = ["a", "the", "ing", " ", "  ", "\n", "\t", "é", "日本", "😀", "'s", "1", "...", "\x1c", "\r\n", "İ", "ab" * 30, "​", "<|endoftext|>"]
     for t in [t or "" for _, t in TEXTS] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(2_000)]:
@@ -275,6 +277,37 @@ def test_bpe(docs):
     assert Counter(tuple(r) for r in back.collect()) == Counter((i, t or "") for i, t in TEXTS)
 
 
+def test_bpe_with_another_pattern():
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    raw = open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+    for pattern in (r"(?s:.+)", r"\w+ ?|[^\w]+", r"[a-z]+ [a-z]+|(?s:.)"):
+        known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        own = byte_bpe.Encoder(raw, pattern)
+        for t in ["the thing and the\nother", "a b  c", "word", " x\n", prose(30)]:
+            assert np.frombuffer(own.encode(t), "<u4").tolist() == known.encode_ordinary(t)
+
+
+def test_keep_one_of_each_component(spark):
+    near = prose(400)
+    rows = [(1, near, "a"), (2, near + " tail", "b"), (None, near, "c"), (3, "", "d"), (None, None, "e"), (4, prose(50), "f"), (4, prose(50), "g"), (5, "x y z", "h"), (5, "x y z", "i"), (None, "only here once", "j"), (None, "only here once", "k")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, size string").repartition(3)
+    got = sorted((r["doc_id"] or 0, r["size"]) for r in simhash_dedup.keep_one(docs).collect())
+    assert got == sorted((r["doc_id"] or 0, r["size"]) for r in simhash_dedup.keep_one(docs.repartition(1)).collect())
+    assert got == [(0, "j"), (1, "a"), (3, "d"), (4, "f"), (4, "g"), (5, "h")]
+
+
+def test_null_identifiers_bridge(spark, monkeypatch):
+    prints = {"a": 0b111, "b": 0b111111, "c": 0b111111111, "d": 0xFF << 20}
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda docs, *more: spark.createDataFrame([(i, prints[t]) for i, t in docs.select("doc_id", "text").collect()], "doc_id bigint, fp bigint"))
+    docs = spark.createDataFrame([(7, "a"), (None, "b"), (9, "c"), (None, "d")], "doc_id bigint, text string")
+    assert Counter(r["component_id"] for r in simhash_dedup.near_duplicates(docs).collect()) == Counter([7, 7, 7, None])
+
+
 def test_language(spark, docs):
     rows = [(i, " ".join(RNG.choice(words) for _ in range(60)), lang) for i, (lang, words) in enumerate([("en", ["the", "thing", "shower", "with"]), ("de", ["der", "schön", "größe", "ich"])] * 60)]
     known = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
