@@ -43,7 +43,7 @@ WINDOW = LENGTH - GRAM + 1
 #: Bytes before an anchor in its segment.
 BEFORE = LENGTH - GRAM
 #: Segments of a bucket that one task refines; a larger bucket is split in Spark first.
-GROUP = 1_024
+GROUP = 4_096
 #: Bytes of segments that are refined at once.
 BATCH = 1_500_000
 #: Long texts are scanned in pieces of so many bytes.
@@ -157,16 +157,22 @@ def _occurrences(batches):
 
 
 def _cut(batches):
-    """One row for each wanted segment: its bytes."""
+    """One row for each wanted segment: its bytes. Rows that repeat meet in a task and bring their segments once."""
     import pyarrow as pa
 
+    seen: set[tuple[int, int]] = set()
+
     names = ["a", "s", "n", "did", "th", "b", "off", "lo", "hi", "seg"]
     for batch in batches:
         texts = cells(batch.column(2))
         rows: list[list] = [[] for _ in names]
         for k, wanted in enumerate(batch.column(3).to_pylist()):
+            text = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+            if text in seen:
+                continue
+            seen.add(text)
             for w in wanted:
-                for c, v in zip(rows, (w["a"], w["s"], w["n"], batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), w["b"], w["off"], 0, BEFORE, texts[k][w["b"] : w["e"]])):
+                for c, v in zip(rows, (w["a"], w["s"], w["n"], *text, w["b"], w["off"], 0, BEFORE, texts[k][w["b"] : w["e"]])):
                     c.append(v)
             if len(rows[0]) >= 5_000:
                 yield _rows(pa, names, rows)
@@ -302,16 +308,19 @@ def _halves(batches):
 def _split(large: DataFrame, run: str) -> tuple[list[DataFrame], list[DataFrame]]:
     """(segments of buckets that a task can refine, spans found on the way) from the segments of larger buckets."""
     small, found = [], []
+    spark = large.sparkSession
     while not large.isEmpty():
+        level = scratch(spark, "level")
         # tables are written, so that joins have exchanges of their own and Spark can split what a frequent bucket brings
-        halves = materialise(large.mapInArrow(_halves, SEGMENT), "halves", run)
+        halves = materialise(large.mapInArrow(_halves, SEGMENT), "halves", level)
         classes = halves.groupBy("a", "s").agg(F.sum("n").alias("m"), F.min(F.struct("did", "th", "b")).alias("first"))
-        classes = materialise(classes, "classes", run)
+        classes = materialise(classes, "classes", level)
         twice = halves.where("n = 1").join(classes.where("m > 1").select("a", "s"), ["a", "s"], "left_semi")
-        found.append(twice.select("did", "th", "b", (F.col("b") + F.length("seg")).cast("int").alias("e")))
-        buckets = materialise(classes.groupBy("a").agg(F.count("*").alias("k"), F.min("m").alias("least")).where("k > 1 and least = 1").select("a", "k"), "buckets", run)
+        found.append(materialise(twice.select("did", "th", "b", (F.col("b") + F.length("seg")).cast("int").alias("e")), "found", run))
+        buckets = materialise(classes.groupBy("a").agg(F.count("*").alias("k"), F.min("m").alias("least")).where("k > 1 and least = 1").select("a", "k"), "buckets", level)
         live = halves.drop("n").join(classes.join(buckets, "a"), ["a", "s"]).where(F.struct("did", "th", "b") == F.col("first"))
         live = materialise(live.select("a", "s", F.col("m").alias("n"), "did", "th", "b", "off", "lo", "hi", "seg", "k"), "live", run)
+        discard(spark, level)
         small.append(live.where(F.col("k") <= GROUP).drop("k"))
         large = live.where(F.col("k") > GROUP).drop("k")
     return small, found
@@ -336,7 +345,7 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     cut = keyed.join(by_text.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "wanted").mapInArrow(_cut, SEGMENT)
     cut = materialise(cut, "cut", run)
     many = differ.where(F.col("k") > GROUP).select("a")
-    small, by_halves = _split(materialise(cut.join(many, "a", "left_semi").select(*SEGMENT_COLUMNS).dropDuplicates(["a", "s"]), "large", run), run)
+    small, by_halves = _split(materialise(cut.join(many, "a", "left_semi").select(*SEGMENT_COLUMNS), "large", run), run)
     small = reduce(DataFrame.unionByName, small, cut.join(many, "a", "left_anti"))
     refined = small.repartition("a").sortWithinPartitions("a", "s").mapInArrow(_refined, SPAN)
     out = materialise(reduce(DataFrame.unionByName, by_halves, whole.unionByName(refined)), "spans")
