@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def ranking(ranks: DataFrame, rank: str = "rank") -> DataFrame:
-    """hr1, hr3, hr5, hr10, p5, ndcg5 in percent or share, mrr; a null rank is a miss."""
+def ranking(ranks: DataFrame, rank: str = "rank", cut: int | None = None) -> DataFrame:
+    """hr1, hr3, hr5, hr10, p5, ndcg5 in percent or share, mrr (0 beyond cut); a null rank is a miss."""
     r = F.col(rank)
+    counted = r if cut is None else F.when(r <= cut, r)
     hit = lambda k: F.round(F.avg(F.when(r <= k, 100.0).otherwise(0.0)), 6)
     return ranks.agg(
         F.count("*").alias("n"), *[hit(k).alias(f"hr{k}") for k in (1, 3, 5, 10)], F.round(F.avg(F.when(r <= 5, 20.0).otherwise(0.0)), 6).alias("p5"),
-        F.round(F.avg(F.coalesce(1.0 / r, F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.when(r <= 5, 1.0 / F.log2(r + 1)).otherwise(0.0)), 6).alias("ndcg5"),
+        F.round(F.avg(F.coalesce(1.0 / counted, F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.when(r <= 5, 1.0 / F.log2(r + 1)).otherwise(0.0)), 6).alias("ndcg5"),
     )
 
 
@@ -24,18 +25,18 @@ def _dcg(grade: Column, rank: Column) -> Column:
 
 
 def graded(rows: DataFrame, k: int = 5) -> DataFrame:
-    """Means over queries of (q, rank, grade): strict and lenient precision and hits at k, and nDCG against all graded rows."""
-    ideal = rows.withColumn("best", F.row_number().over(W.partitionBy("q").orderBy(F.desc("grade"), "rank")))
-    top = F.col("rank") <= k
-    per = ideal.groupBy("q").agg(
-        F.count_if(top & (F.col("grade") >= 1.5)).alias("strict"), F.count_if(top & (F.col("grade") >= 0.5)).alias("lenient"), F.count_if(top).alias("n"),
-        _dcg(F.when(top, F.col("grade")), F.col("rank")).alias("dcg"), _dcg(F.when(F.col("best") <= k, F.col("grade")), F.col("best")).alias("idcg"),
+    """Means over queries of (q, rank, grade): strict and lenient precision and hits at k, and nDCG against all graded rows. Of a
+    query's rows only the first k and the k best grades are gathered."""
+    top = rows.where(F.col("rank") <= k).groupBy("q").agg(
+        F.count_if(F.col("grade") >= 1.5).alias("strict"), F.count_if(F.col("grade") >= 0.5).alias("lenient"), F.count("*").alias("n"), _dcg(F.col("grade"), F.col("rank")).alias("dcg"),
     )
+    best = rows.withColumn("best", F.row_number().over(W.partitionBy("q").orderBy(F.desc("grade")))).where(F.col("best") <= k)
+    per = best.groupBy("q").agg(_dcg(F.col("grade"), F.col("best")).alias("idcg")).join(top, "q", "left").na.fill(0, ["strict", "lenient", "n"])
     mean = lambda c: F.round(F.avg(c), 6)
     return per.agg(
         F.count("*").alias("queries"), mean(F.try_divide("strict", "n")).alias("p_strict"), mean(F.try_divide("lenient", "n")).alias("p_lenient"),
         mean((F.col("strict") > 0).cast("int")).alias("hit_strict"), mean((F.col("lenient") > 0).cast("int")).alias("hit_lenient"),
-        mean(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0)).alias("ndcg"),
+        mean(F.when(F.col("idcg") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("idcg")).otherwise(0.0)).alias("ndcg"),
     )
 
 

@@ -142,7 +142,7 @@ from e left join g on g.src = e.src and g.dst = e.dst join item x on x.item_id =
 def _(s, d):
     b = v.item_bridge(s, d)
     seeds = s.createDataFrame([(1,), (2,), (3,)], "seed bigint")
-    return cooccurrence.recommend(seeds, cooccurrence.edges(b), cooccurrence.genre_vectors(b, v.production(s, d)), v.item(s, d))
+    return cooccurrence.recommend(seeds, cooccurrence.edges_of(seeds, b), cooccurrence.genre_vectors(b, v.production(s, d)), v.item(s, d))
 
 
 @query("cooc_loo_eval", f"""with {_EDGES},
@@ -338,8 +338,13 @@ _RANKSQL = "count(*) as n, round(avg(case when rank <= 1 then 100 else 0 end), 6
 @query("vector_loo_eval", f"with {_BEST.format(where='')} select {_RANKSQL} from rk join embeddings e on e.vec_id = rk.q and e.label = rk.label")
 def _(s, d):
     e = v.table(s, d, "embeddings")
-    ranked = retrieval.best_per_label(e, e, k=1_000_000)
-    return metrics.ranking(ranked.join(e.select(F.col("vec_id").alias("q"), "label"), ["q", "label"]))
+    return metrics.ranking(retrieval.own_label_ranks(e).where("rank is not null"))
+
+
+@query("visual_loo_eval", f"with {_BEST.format(where='')}, r as (select rank from rk join embeddings e on e.vec_id = rk.q and e.label = rk.label where e.label in (select label from embeddings group by label having count(*) >= 2)) select count(*) as n, round(avg(case when rank <= 1 then 100 else 0 end), 6) as hr1, round(avg(case when rank <= 3 then 100 else 0 end), 6) as hr3, round(avg(case when rank <= 5 then 100 else 0 end), 6) as hr5, round(avg(case when rank <= 5 then 20 else 0 end), 6) as p5, round(avg(case when rank <= 20 then 1.0::double / rank else 0 end), 6) as mrr20 from r")
+def _(s, d):
+    ranks = retrieval.own_label_ranks(v.table(s, d, "embeddings"), least=2)
+    return metrics.ranking(ranks, cut=20).select("n", "hr1", "hr3", "hr5", "p5", F.col("mrr").alias("mrr20"))
 
 
 _CATS = "case " + " ".join(f"when regexp_matches({_LOWER.format('{0}')}, '(^|[^\\p{{{{L}}}}\\p{{{{N}}}}_])({'|'.join(x for x in k.split(',') if ' ' not in x)})({'|'.join(lex.SUFFIXES)})?([^\\p{{{{L}}}}\\p{{{{N}}}}_]|$)')" + "".join(f" or contains({_LOWER.format('{0}')}, '{x}')" for x in k.split(",") if " " in x) + f" then '{n}'" for n, k in lex.CATEGORIES.items()) + " end"
@@ -396,11 +401,19 @@ def _(s, d):
 
 
 def _dense(s, d) -> DataFrame:
-    """Queries (ids divisible by 100) against all vectors, with a category, ranked."""
+    """Queries (ids divisible by 100) against all vectors, with a category."""
     e = v.table(s, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("label").alias("qlabel"))
-    pairs = e.crossJoin(F.broadcast(q)).select("q", "qlabel", F.col("vec_id").alias("cand"), "label", F.round(cosine(F.col("embedding"), F.col("qe")), 6).alias("sim"))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "cand")).cast("long"))
+    q = e.where("vec_id % 100 = 0")
+    found = retrieval.similar(e, q).withColumnRenamed("vec_id", "cand")
+    return found.join(q.select(F.col("vec_id").alias("q"), F.col("label").alias("qlabel")), "q")
+
+
+def _by(*order) -> Column:
+    return F.row_number().over(W.partitionBy("q").orderBy(*order, "cand")).cast("long")
+
+
+def _ranked(s, d) -> DataFrame:
+    return _dense(s, d).withColumn("rank", _by(F.desc("sim")))
 
 
 _DENSE = f"dn as (select *, row_number() over (partition by q order by sim desc, cand) as rank from (select b.vec_id as q, b.label as qlabel, a.vec_id as cand, a.label, {_COS} as sim from embeddings a, embeddings b where b.vec_id % 100 = 0))"
@@ -411,16 +424,16 @@ _KEYS = list(lex.CATEGORIES)
 def _(s, d):
     x = _dense(s, d)
     x = x.withColumn("s0", 0.6 * F.col("sim") + 0.4 * F.when(F.col("label") == F.col("qlabel"), 1).otherwise(0) + F.when(F.col("label") % 3 == F.col("qlabel") % 3, 0.25).otherwise(0.0))
-    x = x.withColumn("p", F.row_number().over(W.partitionBy("q").orderBy(F.desc(F.round("s0", 6)), "cand")))
+    # the five best are among the pool of 100, which is adjusted, and the five behind it
+    x = x.withColumn("p", _by(F.desc(F.round("s0", 6)))).where("p <= 105")
     category = F.element_at(F.array(*map(F.lit, _KEYS)), F.col("label") + 1)
     x = x.withColumn("score", F.round(F.col("s0") + F.when(F.col("p") <= 100, retrieval.adjust(category, "Polisiye")).otherwise(0.0), 6))
-    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "cand")).cast("long")
-    return x.withColumn("rank", rank).where("rank <= 5").select("q", "cand", "score", "rank")
+    return x.withColumn("rank", _by(F.desc("score"))).where("rank <= 5").select("q", "cand", "score", "rank")
 
 
 @query("rerank_blend", f"with {_DENSE}, x as (select q, cand, rank, ((cand * 37) % 101)::double as c from dn), y as (select *, min(case when rank <= 20 then c end) over (partition by q) as lo, max(case when rank <= 20 then c end) over (partition by q) as hi, count(*) filter (rank <= 20) over (partition by q) as n from x), z as (select q, cand, case when rank <= 20 then round(0.5::double * case when n > 1 then 1 - (rank - 1) / (n - 1) else 1 end + 0.5::double * case when hi > lo then (c - lo) / (hi - lo) else 0.5 end, 6) end as combined, rank from y) select q, cand, combined, row_number() over (partition by q order by combined desc nulls last, rank) as new_rank from z")
 def _(s, d):
-    x = _dense(s, d).withColumn("cross", ((F.col("cand") * 37) % 101).cast("double"))
+    x = _ranked(s, d).withColumn("cross", ((F.col("cand") * 37) % 101).cast("double"))
     return retrieval.rerank(x.select("q", "cand", "rank", "cross")).select("q", "cand", "combined", "new_rank")
 
 
@@ -428,7 +441,7 @@ def _(s, d):
 def _(s, d):
     x = _dense(s, d)
     score = F.round(retrieval.metadata_filter(F.col("sim"), F.col("cand") % 4 == F.col("q") % 4, F.col("label") == F.col("qlabel")), 6)
-    x = x.withColumn("score", score).withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "cand")).cast("long"))
+    x = x.withColumn("score", score).withColumn("r", _by(F.desc("score")))
     return x.where("r <= 5").select("q", "cand", "score", F.col("r").alias("rank"))
 
 
@@ -469,12 +482,15 @@ def _graded(s, d) -> DataFrame:
 
 @query("annotation_set", f"with {_GRADED} select q, cand, rank, cand = q as is_gold from gr where rank <= 5 or cand = q")
 def _(s, d):
-    return annotation.candidates(_dense(s, d).withColumn("is_gold", F.col("cand") == F.col("q"))).select("q", "cand", "rank", "is_gold")
+    return annotation.candidates(_ranked(s, d).withColumn("is_gold", F.col("cand") == F.col("q"))).select("q", "cand", "rank", "is_gold")
 
 
 @query("annotation_scores", f"with {_GRADED}, b as (select *, row_number() over (partition by q order by grade desc, rank) as best from gr), p as (select q, count(*) filter (rank <= 5 and grade >= 1.5) as st, count(*) filter (rank <= 5 and grade >= 0.5) as le, count(*) filter (rank <= 5) as n, sum(case when rank <= 5 then (pow(2, grade) - 1) / log2(rank + 1) end) as dcg, sum(case when best <= 5 then (pow(2, grade) - 1) / log2(best + 1) end) as idcg from b group by q) select count(*) as queries, round(avg(st / n), 6) as p_strict, round(avg(le / n), 6) as p_lenient, round(avg((st > 0)::int), 6) as hit_strict, round(avg((le > 0)::int), 6) as hit_lenient, round(avg(case when idcg > 0 then dcg / idcg else 0 end), 6) as ndcg from p")
 def _(s, d):
-    return metrics.graded(_graded(s, d).select("q", "rank", "grade"))
+    g = _graded(s, d)
+    # what is not among the first five counts by its grade alone
+    first = g.withColumn("rank", _by(F.desc("sim"))).where("rank <= 5").select("q", "cand", "rank")
+    return metrics.graded(g.join(first, ["q", "cand"], "left").select("q", "rank", "grade"))
 
 
 @query("annotation_queries")
@@ -500,7 +516,7 @@ def _(s, d):
     return metrics.paired_bootstrap(v.table(s, d, "labels").select(F.col("quality").cast("double").alias("a"), F.col("toxic").cast("double").alias("b")))
 
 
-@query("mcnemar", "with c as (select count(*) filter (vec_id % 3 <> 0 and vec_id % 7 = 0) as b01, count(*) filter (vec_id % 3 = 0 and vec_id % 7 <> 0) as b10 from embeddings where vec_id < 60), t as (select b01, b10, unnest(range(0, least(b01, b10) + 1)) as i from c) select b01, b10, round(least(1.0, 2 * sum(exp(lgamma(b01 + b10 + 1) - lgamma(i + 1) - lgamma(b01 + b10 - i + 1) - (b01 + b10) * ln(2)))), 6) as p from t group by 1, 2".replace(" where vec_id < 60", ""))
+@query("mcnemar", "with c as (select count(*) filter (vec_id % 3 <> 0 and vec_id % 7 = 0) as b01, count(*) filter (vec_id % 3 = 0 and vec_id % 7 <> 0) as b10 from embeddings), t as (select b01, b10, unnest(range(0, least(b01, b10) + 1)) as i from c) select b01, b10, round(least(1.0, 2 * sum(exp(lgamma(b01 + b10 + 1) - lgamma(i + 1) - lgamma(b01 + b10 - i + 1) - (b01 + b10) * ln(2)))), 6) as p from t group by 1, 2")
 def _(s, d):
     e = v.table(s, d, "embeddings")
     return metrics.mcnemar(e.select((F.col("vec_id") % 3 == 0).cast("int").alias("a"), (F.col("vec_id") % 7 == 0).cast("int").alias("b")))

@@ -148,3 +148,34 @@ def test_classifier(spark, kind):
     model = classify.fit(docs.where("doc_id < 99"), kind)
     got = {r["doc_id"]: (r["label"], r["predicted"]) for r in classify.predict(model, docs).collect()}
     assert len(got) == 19 and all(a == b for i, (a, b) in got.items() if i < 99)
+
+
+@pytest.mark.parametrize("lat,lon", [(0, 0), (60, 10), (-70, 179.8), (70, -179.9), (85, 179.9), (89.9, 20), (-89.95, 0), (14.999, -180)])
+def test_near_pairs_at_any_latitude(spark, lat, lon):
+    rng = random.Random(lat * 7 + lon)
+    spread = 0.4 / max(0.002, math.cos(math.radians(lat)))
+    rows = [(i, max(-90.0, min(90.0, lat + rng.uniform(-0.4, 0.4))), (lon + rng.uniform(-spread, spread) + 540) % 360 - 180) for i in range(160)] + [(900, None, 1.0), (901, 90.0, 5.0), (902, -90.0, 5.0)]
+    p = spark.createDataFrame(rows, "location_id bigint, lat double, lon double")
+    whole = [r for r in rows if r[1] is not None]
+    want = {(a[0], b[0]) for a in whole for b in whole if a[0] < b[0] and places._km(a[1:], b[1:]) <= 15}
+    assert want and sorted((r["a"], r["b"]) for r in places.near_pairs(p).collect()) == sorted(want)
+
+
+def test_near_pairs_over_any_distance(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(60)]
+    p = spark.createDataFrame(rows, "location_id bigint, lat double, lon double")
+    for km in (3_000.0, 12_000.0, 30_000.0):
+        want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and places._km(a[1:], b[1:]) <= km}
+        assert sorted((r["a"], r["b"]) for r in places.near_pairs(p, km).collect()) == sorted(want)
+
+
+def test_edges_of_seeds_are_edges(spark):
+    rng = random.Random(1)
+    b = spark.createDataFrame([(p, i) for p in range(40) for i in rng.sample(range(25), rng.randint(1, 6))], "production_id bigint, item_id bigint")
+    seeds = spark.createDataFrame([(1,), (4,)], "seed bigint")
+    want = {(r["src"], r["dst"]): (round(r["w"], 9), round(r["sim"], 9)) for r in cooccurrence.edges(b).where("src in (1, 4)").collect()}
+    got = cooccurrence.edges_of(seeds, b).collect()
+    assert {(r["src"], r["dst"]): (round(r["w"], 9), round(r["sim"], 9)) for r in got} == want and len(got) == len(want)
+    all_ = cooccurrence.edges(b)
+    assert cooccurrence.n_edges(all_).first()["n"] * 2 == all_.count()
