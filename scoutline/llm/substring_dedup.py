@@ -43,7 +43,7 @@ WINDOW = LENGTH - GRAM + 1
 #: Bytes before an anchor in its segment.
 BEFORE = LENGTH - GRAM
 #: Segments of a bucket that one task refines; a larger bucket is split in Spark first.
-GROUP = 1_024
+GROUP = 4_096
 #: Bytes of segments that are refined at once.
 BATCH = 1_500_000
 #: Long texts are scanned in pieces of so many bytes.
