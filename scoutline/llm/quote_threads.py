@@ -107,8 +107,9 @@ def _threads(links: DataFrame) -> DataFrame:
 
 
 def conversations(messages: DataFrame, turns: int = 256) -> DataFrame:
-    """conv_id, part, formatted: conversations written out in reply order, in parts of threads that start within so many turns."""
-    rows = linked(messages).withColumn("part", F.floor(F.col("thread") / turns).cast("long"))
+    """conv_id, part, formatted: conversations written out in reply order, in parts of threads that start within so many turns; rows
+    that repeat are written once."""
+    rows = linked(messages).withColumn("part", F.floor(F.col("thread") / turns).cast("long")).select("conv_id", "part", "thread", "turn", "formatted").distinct()
     rows = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("thread", "turn", "formatted"))).alias("all"))
     return rows.select("conv_id", "part", F.array_join(F.transform("all", lambda x: x["formatted"]), "\n").alias("formatted"))
 
