@@ -30,7 +30,7 @@ def word_match(c: Column, keyword: str, suffixes: list[str] = lex.SUFFIXES) -> C
     return F.arrays_overlap(words(c), _forms([keyword], suffixes))
 
 
-def any_match(c: Column, keywords: list[str], suffixes: list[str] = lex.SUFFIXES) -> Column:
+def any_match(c: Column, keywords, suffixes: list[str] = lex.SUFFIXES) -> Column:
     """Words are first cut to those that begin like a keyword, so a row costs one pass over its words."""
     single, several = [k for k in keywords if " " not in k], [k for k in keywords if " " in k]
     found = turkish_lower(c).rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(single)})(?:{'|'.join(suffixes)})?(?![\p{{L}}\p{{N}}_])")
@@ -38,7 +38,7 @@ def any_match(c: Column, keywords: list[str], suffixes: list[str] = lex.SUFFIXES
 
 
 def location_category(c: Column) -> Column:
-    return F.coalesce(*[F.when(any_match(c, k.split(",")), F.lit(name)) for name, k in lex.CATEGORIES.items()])
+    return F.coalesce(*[F.when(any_match(c, k), F.lit(name)) for name, k in lex.CATEGORIES.items()])
 
 
 def category_label(c: Column) -> Column:
@@ -46,12 +46,38 @@ def category_label(c: Column) -> Column:
 
 
 def active_categories(c: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(any_match(c, k.split(",")), F.lit(name)) for name, k in lex.CATEGORIES.items()]))
+    return F.array_compact(F.array(*[F.when(any_match(c, k), F.lit(name)) for name, k in lex.CATEGORIES.items()]))
+
+
+def reduced_category(c: Column) -> Column:
+    """The first category of the shorter list with a keyword in the text, with or without one of the shorter list of suffixes; "" if none."""
+    return F.coalesce(*[F.when(any_match(c, k, lex.SHORT_SUFFIXES), F.lit(name)) for name, k in lex.REDUCED_CATEGORIES.items()], F.lit(""))
+
+
+def reduced_categories(c: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(any_match(c, k, lex.SHORT_SUFFIXES), F.lit(name)) for name, k in lex.REDUCED_CATEGORIES.items()]))
+
+
+def reduced_region(c: Column) -> Column:
+    """The provinces of the first region of the shorter list that the text names; null if none."""
+    return F.coalesce(*[F.when(word_match(c, name, lex.SHORT_SUFFIXES), F.array(*map(F.lit, provinces))) for name, provinces in lex.REDUCED_REGIONS.items()])
+
+
+def first_named(c: Column, names: list[str]) -> Column:
+    """The first of names, in order and in lower case, that the text holds as a word with or without a suffix, or as a phrase; "" if none."""
+    lower = lambda n: n.translate(str.maketrans("İIĞÜŞÖÇ", "iığüşöç")).lower()
+    known = sorted({lower(n) for n in names if n})
+    return F.coalesce(*[F.when(word_match(c, n, lex.SHORT_SUFFIXES), F.lit(n)) for n in known], F.lit(""))
+
+
+def names_place(query: Column, name: Column) -> Column:
+    """Whether a query holds a place's name."""
+    return F.contains(turkish_lower(query), turkish_lower(name))
 
 
 def region_provinces(c: Column) -> Column:
     t = turkish_lower(c)
-    rows = [F.when(reduce(lambda a, n: a | F.contains(t, F.lit(n)), names.split(","), F.lit(False)), F.array(*map(F.lit, provinces.split()))) for names, provinces in lex.REGIONS]
+    rows = [F.when(reduce(lambda a, n: a | F.contains(t, F.lit(n)), names, F.lit(False)), F.array(*map(F.lit, provinces))) for names, provinces in lex.REGIONS]
     return F.coalesce(*rows, F.array().cast("array<string>"))
 
 
@@ -113,3 +139,15 @@ def sentences(c: Column, least: int) -> Column:
 def join_subwords(tokens: Column) -> Column:
     """Pieces that begin with ## continue the word before."""
     return F.regexp_replace(F.array_join(tokens, " "), " ##", "")
+
+
+def terms(c: Column, least: int = 2, most_words: int = 1) -> Column:
+    """Runs of least or more letters, digits and _ of a lower-cased text, and their sequences of up to most_words, joined by blanks."""
+    found = F.regexp_extract_all(F.lower(c), F.lit(rf"[\p{{L}}\p{{N}}_]{{{least},}}"), F.lit(0))
+
+    def grams(t: Column, n: int) -> Column:
+        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    if most_words == 1:
+        return found
+    return F.element_at(F.transform(F.array(found), lambda t: F.concat(*[grams(t, n) for n in range(1, most_words + 1)])), 1)

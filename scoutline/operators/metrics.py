@@ -69,43 +69,130 @@ def agreement(rows: DataFrame, a: str, b: str, grades: int = 3) -> DataFrame:
     return out.crossJoin(m.select(F.round(rho, 6).alias("spearman")))  # a row by a row
 
 
-def bootstrap_ci(values: DataFrame, value: str = "hit", reps: int = 1000, seed: int = 42) -> DataFrame:
-    """(mean, low, high) of the mean under resampling, by Poisson weights: each row draws its own number for each sample, so nothing is indexed."""
-    u = (F.pmod(F.xxhash64("__k", "rep", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cdf, total = [], 0.0
+#: Discordant pairs up to which McNemar's test is summed exactly; beyond, the normal limit with continuity correction.
+EXACT_PAIRS = 200_000
+_MASK, _GOLDEN = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+
+def _poisson() -> list[float]:
+    """The cumulative chances of 0 to 7 for a mean of 1."""
+    out, total = [], 0.0
     for k in range(8):
         total += math.exp(-1) / math.factorial(k)
-        cdf.append(total)
-    weight = sum((u > c).cast("int") for c in cdf)
-    rows = values.select(F.col(value).alias("v"), F.monotonically_increasing_id().alias("__k"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    means = rows.withColumn("w", weight).groupBy("rep").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+        out.append(total)
+    return out
+
+
+def _sums(rows: DataFrame, reps: int, seed: int) -> DataFrame:
+    """(rep, wv, w): for each sample the weighted sum and the weights of rows (key, v). A row's weight in a sample is a Poisson
+    number drawn from its key, so it is the same however rows are dealt; a task sends one row a sample."""
+    import numpy as np
+
+    cdf = _poisson()
+
+    def mixed(x):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def run(batches):
+        import pyarrow as pa
+
+        wv, w = np.zeros(reps), np.zeros(reps)
+        steps = np.arange(1, reps + 1, dtype=np.uint64) * np.uint64(_GOLDEN)
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            v = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            for k in range(0, len(key), 1_000):
+                with np.errstate(over="ignore"):
+                    own = mixed(key[k : k + 1_000] + np.uint64(seed * _GOLDEN & _MASK))
+                    u = (mixed(own[:, None] + steps[None, :]) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+                weight = np.searchsorted(cdf, u.ravel(), side="left").reshape(u.shape).astype(np.float64)
+                wv += v[k : k + 1_000] @ weight
+                w += weight.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, reps + 1)), pa.array(wv), pa.array(w)], names=["rep", "wv", "w"])
+
+    known = rows.where("key is not null and v is not null").select(F.col("key").cast("long"), F.col("v").cast("double"))
+    return known.mapInArrow(run, "rep bigint, wv double, w double").groupBy("rep").agg(F.sum("wv").alias("wv"), F.sum("w").alias("w"))
+
+
+def _keyed(df: DataFrame, key: str | None, *columns: str) -> Column:
+    """What a row draws from: its key, else a hash of its values and of how often they came before in its task."""
+    return F.col(key).cast("long") if key else F.xxhash64(*columns, F.monotonically_increasing_id())
+
+
+def bootstrap_ci(values: DataFrame, value: str = "hit", reps: int = 1000, seed: int = 42, key: str | None = None) -> DataFrame:
+    """(mean, low, high) of the mean under resampling. Each row counts a Poisson(1) number of times in a sample, which stands for
+    drawing n rows with replacement; with a key (an identifier) the interval doesn't depend on how rows are dealt."""
+    rows = values.select(_keyed(values, key, value).alias("key"), F.col(value).alias("v"))
+    means = _sums(rows, reps, seed).select(F.try_divide("wv", "w").alias("m"))
     ci = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return values.agg(F.avg(value).alias("mean")).crossJoin(ci)  # a row by a row
 
 
-def paired_bootstrap(pairs: DataFrame, reps: int = 1000, seed: int = 42) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, reps: int = 1000, seed: int = 42, key: str | None = None) -> DataFrame:
     """(observed, p) of the mean of a - b: two-sided, centred, (count + 1) / (reps + 1)."""
-    d = pairs.select((F.col("a") - F.col("b")).alias("v"))
+    d = pairs.select(_keyed(pairs, key, "a", "b").alias("key"), (F.col("a") - F.col("b")).alias("v"))
     mean = d.agg(F.avg("v").alias("observed"))
-    centred = d.crossJoin(F.broadcast(mean)).select((F.col("v") - F.col("observed")).alias("v"))
-    u = F.explode(F.sequence(F.lit(1), F.lit(reps)))
-    rows = centred.select("v", F.monotonically_increasing_id().alias("k"), u.alias("rep"))
-    x = (F.pmod(F.xxhash64("k", "rep", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cdf, total = [], 0.0
-    for k in range(8):
-        total += math.exp(-1) / math.factorial(k)
-        cdf.append(total)
-    means = rows.withColumn("w", sum((x > c).cast("int") for c in cdf)).groupBy("rep").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
-    return means.crossJoin(F.broadcast(mean)).groupBy("observed").agg(((F.count_if(F.abs("m") >= F.abs("observed")) + 1) / (reps + 1)).alias("p"))
+    # the mean of centred values is the mean less the observed one
+    means = _sums(d, reps, seed).crossJoin(F.broadcast(mean)).select("observed", (F.try_divide("wv", "w") - F.col("observed")).alias("m"))  # one row
+    return means.groupBy("observed").agg(((F.count_if(F.abs("m") >= F.abs("observed") - 1e-12) + 1) / (reps + 1)).alias("p"))
+
+
+def mcnemar_p(b01: int, b10: int) -> float:
+    """The two-sided binomial test of the pairs that differ; 1 if none does."""
+    n, least = b01 + b10, min(b01, b10)
+    if n == 0:
+        return 1.0
+    if n > EXACT_PAIRS:
+        z = max(0.0, abs(b01 - b10) - 1) / math.sqrt(n)
+        return math.erfc(z / math.sqrt(2))
+    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)
+    return min(1.0, 2 * math.fsum(math.exp(log(i)) for i in range(least + 1)))
 
 
 def mcnemar(pairs: DataFrame) -> DataFrame:
-    """(b01, b10, p) of 0/1 columns a and b: the exact two-sided binomial test of the pairs that differ; 1 if none does."""
+    """(b01, b10, p) of 0/1 columns a and b: exact up to EXACT_PAIRS pairs that differ."""
     c = pairs.agg(F.count_if(F.expr("a = 0 and b = 1")).alias("b01"), F.count_if(F.expr("a = 1 and b = 0")).alias("b10"))
-    n, least = F.col("b01") + F.col("b10"), F.least("b01", "b10")
-    # log of n choose i for i = 0..least, by sums of logarithms
-    steps = F.aggregate(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), F.struct(F.lit(0.0).alias("log"), F.exp(-n * math.log(2)).alias("sum")), lambda s, i: F.struct((s["log"] + F.when(i <= least, F.log((n - i + 1) / i)).otherwise(0.0)).alias("log"), (s["sum"] + F.when(i <= least, F.exp(s["log"] + F.log((n - i + 1) / i) - n * math.log(2))).otherwise(0.0)).alias("sum")))["sum"]
-    return c.select("b01", "b10", F.round(F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * steps)), 6).alias("p"))
+
+    def run(frames):  # one row
+        for pdf in frames:
+            yield pdf.assign(p=[round(mcnemar_p(int(x), int(y)), 6) for x, y in zip(pdf["b01"], pdf["b10"])])
+
+    return c.mapInPandas(run, "b01 bigint, b10 bigint, p double")
+
+
+def compare_all(hits: DataFrame, reps: int = 10_000, seed: int = 42) -> DataFrame:
+    """(x, y, diff, p_bootstrap, p_mcnemar) for each two settings of (setting, q, hit), x before y; diff in percent."""
+    out = None
+    names = sorted(r[0] for r in hits.select("setting").distinct().collect())  # a few settings
+    side = lambda name, c: hits.where(F.col("setting") == name).select("q", F.col("hit").cast("double").alias(c))
+    for i, x in enumerate(names):
+        for y in names[i + 1 :]:
+            pairs = side(x, "a").join(side(y, "b"), "q")
+            boot = paired_bootstrap(pairs, reps, seed, key="q").withColumnRenamed("p", "p_bootstrap")
+            row = boot.crossJoin(mcnemar(pairs).select(F.col("p").alias("p_mcnemar")))  # a row by a row
+            row = row.select(F.lit(x).alias("x"), F.lit(y).alias("y"), F.round(100 * F.col("observed"), 6).alias("diff"), F.round("p_bootstrap", 6).alias("p_bootstrap"), "p_mcnemar")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def by_subset(ranks: DataFrame, subset: str = "named") -> DataFrame:
+    """(subset, n, hr1, hr5) in percent of (rank, subset)."""
+    hit = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, 100.0).otherwise(0.0)), 6).alias(f"hr{k}")
+    return ranks.groupBy(F.col(subset).alias("subset")).agg(F.count("*").alias("n"), hit(1), hit(5))
+
+
+def top_k_accuracy(ranked: DataFrame) -> DataFrame:
+    """(n, top1, top3, macro_f1) in percent from (label, ranked: labels from the likeliest on); macro-F1 over all labels that occur or are predicted."""
+    rows = ranked.select("label", F.get("ranked", F.lit(0)).alias("predicted"), F.array_contains(F.slice("ranked", 1, 3), F.col("label")).alias("in3"))
+    t = rows.groupBy("label", "predicted").agg(F.count("*").alias("n"), F.count_if("in3").alias("in3"))
+    g = t.groupBy("label").agg(F.sum("n").alias("ng"), F.sum("in3").alias("in3"), F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"))
+    p = t.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("np"))
+    j = g.join(p, "label", "full").na.fill(0, ["ng", "np", "tp", "in3"])
+    f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("ng") + F.col("np")), F.lit(0.0))
+    share = lambda c: F.round(100 * F.sum(c) / F.sum("ng"), 6)
+    return j.agg(F.sum("ng").alias("n"), share("tp").alias("top1"), share("in3").alias("top3"), F.round(100 * F.avg(f1), 6).alias("macro_f1"))
 
 
 def classification(rows: DataFrame) -> DataFrame:

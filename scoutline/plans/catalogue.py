@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,47 +10,13 @@ from pyspark.sql.window import Window as W
 
 from scoutline.functions import lexicon as lex
 from scoutline.functions import text as tx
-from scoutline.functions.geo import cosine
 from scoutline.operators import annotation, classify, content, cooccurrence, knowledge, metrics, places, preparation, retrieval, tagging
+from scoutline.plans.shared import LOWER as _LOWER
+from scoutline.plans.shared import ORACLES, QUERIES, km, ph, query  # noqa: F401 - the queries and SQL are looked up here
+from scoutline.plans.shared import category_sql as _cat
+from scoutline.plans.shared import phrase as _phrase
 from scoutline.sources import views as v
-from scoutline.streaming.cooccurrence_stream import windowed_counts
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-#: Phrases that give names some Turkish text to work on, dealt by id.
-PHRASES = ("Eski sokakta gece", "İstanbul limanında kovalamaca", "garaj kapısı", "Köyler ve tarla", "deniz kıyısında sabah", "hastane acil 1999 yılında", "Ara sokak ve çarşı", "tapınak", "Fabrikada takip", "düğün")
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = f"with {v.SQL}\n{sql}" if not sql.lstrip().startswith("with") else sql.replace("with ", f"with {v.SQL},\n", 1) if "recursive" not in sql else sql.replace("with recursive ", f"with recursive {v.SQL},\n", 1)
-        return f
-
-    return keep
-
-
-def _phrase(key: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, PHRASES)), (key % len(PHRASES) + 1).cast("int"))
-
-
-_PH = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
-
-
-def ph(key: str) -> str:
-    return f"{_PH}[{key} % {len(PHRASES)} + 1]"
-
-
-_LOWER = "lower(translate({0}, 'İIĞÜŞÖÇ', 'iığüşöç'))"
-#: Great-circle distance in SQL.
-KM = "2 * 6371.0::double * asin(sqrt(least(1.0::double, greatest(0.0::double, pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2)))))"
-
-
-def km(*args: str) -> str:
-    return KM.format(*args)
-
+from scoutline.streaming.event_windows import windowed_counts
 
 # --- preparation -------------------------------------------------------------------------------------------
 
@@ -276,8 +243,7 @@ def _(s, d):
 def _(s, d):
     edges = _kg(s, d)[1].select(F.concat_ws(":", "src_type", "src").alias("a"), F.concat_ws(":", "dst_type", "dst").alias("b"))
     vec = knowledge.embed(knowledge.ppmi(knowledge.walks(edges)))
-    q = vec.where("node = 'genre:BUILDING'").select(F.col("vec").alias("q"))
-    return vec.where("node like 'location:%'").crossJoin(F.broadcast(q)).select("node", F.round(cosine(F.col("vec"), F.col("q")), 6).alias("sim")).orderBy(F.desc("sim"), "node").limit(10)
+    return knowledge.recommend_locations(vec, {"BUILDING": 1.0}, v.location(s, d)).select(F.concat(F.lit("location:"), F.col("location_id").cast("string")).alias("node"), "sim")
 
 
 # --- retrieval ---------------------------------------------------------------------------------------------
@@ -347,13 +313,6 @@ def _(s, d):
     return metrics.ranking(ranks, cut=20).select("n", "hr1", "hr3", "hr5", "p5", F.col("mrr").alias("mrr20"))
 
 
-_CATS = "case " + " ".join(f"when regexp_matches({_LOWER.format('{0}')}, '(^|[^\\p{{{{L}}}}\\p{{{{N}}}}_])({'|'.join(x for x in k.split(',') if ' ' not in x)})({'|'.join(lex.SUFFIXES)})?([^\\p{{{{L}}}}\\p{{{{N}}}}_]|$)')" + "".join(f" or contains({_LOWER.format('{0}')}, '{x}')" for x in k.split(",") if " " in x) + f" then '{n}'" for n, k in lex.CATEGORIES.items()) + " end"
-
-
-def _cat(text: str) -> str:
-    return _CATS.format(text)
-
-
 def _named(s, d) -> DataFrame:
     return v.item(s, d).withColumn("name", F.concat("text", F.lit(" "), _phrase(F.col("item_id"))))
 
@@ -506,14 +465,39 @@ def _(s, d):
     return metrics.agreement(v.table(s, d, "labels"), "quality", "toxic")
 
 
-@query("bootstrap_ci")
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) for c in df.columns])
+
+
+def _draws(seed: int = 42, reps: int = 1000) -> str:
+    """Poisson weights in SQL: a row's key and a sample's number, mixed to 64 bits, against the cumulative chances."""
+    m = "18446744073709551616::uhugeint"
+
+    def mixed(x: str) -> str:
+        one = f"((xor({x}, {x} // 1073741824::uhugeint)) * 13787848793156543929::uhugeint) % {m}"
+        return one
+
+    cdf = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+    steps = f"""k1 as (select key, val, ((key::uhugeint + {seed * 0x9E3779B97F4A7C15 % 2**64}::uhugeint) % {m}) as x from src),
+k2 as (select key, val, {mixed('x')} as x from k1), k3 as (select key, val, ((xor(x, x // 134217728::uhugeint)) * 10723151780598845931::uhugeint) % {m} as x from k2), k4 as (select key, val, xor(x, x // 2147483648::uhugeint) as x from k3),
+r1 as (select key, val, r as rep, (x + (r::uhugeint * 11400714819323198485::uhugeint) % {m}) % {m} as x from k4, range(1, {reps + 1}) t(r)),
+r2 as (select key, val, rep, {mixed('x')} as x from r1), r3 as (select key, val, rep, ((xor(x, x // 134217728::uhugeint)) * 10723151780598845931::uhugeint) % {m} as x from r2), r4 as (select key, val, rep, (xor(x, x // 2147483648::uhugeint) // 2048::uhugeint)::double / 9007199254740992 as u from r3),
+w as (select rep, val, {' + '.join(f'(u > {c!r}::double)::int' for c in cdf)} as w from r4), means as (select rep, sum(w * val) / sum(w) as m from w group by rep)"""
+    return steps
+
+
+_BOOT = f"with src as (select doc_id as key, quality::double as val from labels), {_draws()} select round((select avg(val) from src), 6) as mean, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from means"
+_PAIRED = f"with src as (select doc_id as key, (quality - toxic)::double as val from labels), {_draws()}, o as (select avg(val) as observed from src) select round(observed, 6) as observed, round((count(*) filter (abs(m - observed) >= abs(observed) - 1e-12) + 1) / 1001.0, 6) as p from means, o group by observed"
+
+
+@query("bootstrap_ci", _BOOT)
 def _(s, d):
-    return metrics.bootstrap_ci(v.table(s, d, "labels").select(F.col("quality").cast("double").alias("hit")))
+    return _rounded(metrics.bootstrap_ci(v.table(s, d, "labels").select("doc_id", F.col("quality").cast("double").alias("hit")), key="doc_id"))
 
 
-@query("paired_bootstrap")
+@query("paired_bootstrap", _PAIRED)
 def _(s, d):
-    return metrics.paired_bootstrap(v.table(s, d, "labels").select(F.col("quality").cast("double").alias("a"), F.col("toxic").cast("double").alias("b")))
+    return _rounded(metrics.paired_bootstrap(v.table(s, d, "labels").select("doc_id", F.col("quality").cast("double").alias("a"), F.col("toxic").cast("double").alias("b")), key="doc_id"))
 
 
 @query("mcnemar", "with c as (select count(*) filter (vec_id % 3 <> 0 and vec_id % 7 = 0) as b01, count(*) filter (vec_id % 3 = 0 and vec_id % 7 <> 0) as b10 from embeddings), t as (select b01, b10, unnest(range(0, least(b01, b10) + 1)) as i from c) select b01, b10, round(least(1.0, 2 * sum(exp(lgamma(b01 + b10 + 1) - lgamma(i + 1) - lgamma(b01 + b10 - i + 1) - (b01 + b10) * ln(2)))), 6) as p from t group by 1, 2")
@@ -534,3 +518,6 @@ def _(s, d):
 @query("events_windowed", "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def _(s, d):
     return windowed_counts(v.table(s, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+from scoutline.plans import graph_queries, text_queries  # noqa: E402, F401 - they register their queries

@@ -1,7 +1,9 @@
-"""Readers and writers: CSV (with or without a byte-order mark), JSON arrays and lines, label maps, checkpoints of row keys."""
+"""Readers and writers: CSV (with or without a byte-order mark), JSON, JSON lines, label maps, vector indexes, images, resumable work."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 def read_label_map(spark: SparkSession, path: str) -> DataFrame:
     """(id int, label) from an object with an id2label map, whose keys are strings."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "id2label map<string, string>").alias("m"))
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "id2label map<string, string>").alias("m"))
     return rows.select(F.explode(F.transform_keys("m.id2label", lambda k, _: k.cast("int"))).alias("id", "label"))
 
 
@@ -46,11 +48,85 @@ def vector_index(df: DataFrame) -> DataFrame:
     return df.select("key", F.split("key", "_")[0].cast("long").alias("loc_id"), F.transform("vec", lambda x: x / F.coalesce(F.nullif(norm, F.lit(0.0)), F.lit(1.0))).alias("vec"))
 
 
-def external_scores(df: DataFrame, key: str, scores: str) -> DataFrame:
-    """df with a comma list of scores, one for each row in the order of key; a wrong count raises."""
-    from pyspark.sql.window import Window as W
+def write_vector_index(df: DataFrame, path: str) -> None:
+    """Keys ("location_image") and their vectors of length 1, as a table that vector_index() reads again."""
+    vector_index(df).select("key", "vec").write.mode("overwrite").parquet(path)
+
+
+def read_vector_index(spark: SparkSession, path: str) -> DataFrame:
+    return vector_index(spark.read.parquet(path))
+
+
+def write_json(spark: SparkSession, value, path: str) -> None:
+    """One JSON document (a label map, a report, a list of split rows on the driver) in the file path, wherever Spark can write."""
+    import json
+
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2).encode()))
+    finally:
+        out.close()
+
+
+def label_map(ids: DataFrame, label: str = "label", name: str = "label_id") -> dict:
+    """{"label2id": ..., "id2label": ...} of dense ids."""
+    rows = ids.select(label, name).distinct().orderBy(name).collect()  # a row a label
+    return {"label2id": {r[0]: r[1] for r in rows}, "id2label": {str(r[1]): r[0] for r in rows}}
+
 
-    parts = F.split(F.lit(scores), ",")
-    numbered = df.withColumn("n", F.row_number().over(W.orderBy(key))).withColumn("all", F.count("*").over(W.partitionBy()))
-    checked = F.when(F.col("all") == F.size(parts), F.get(parts, F.col("n") - 1)).otherwise(F.raise_error(F.lit("as many scores as rows are needed")))
-    return numbered.withColumn("score", F.try_cast(F.trim(checked), "double") if hasattr(F, "try_cast") else F.trim(checked).try_cast("double")).drop("n", "all")
+def read_images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("jpg", "jpeg", "png", "webp")) -> DataFrame:
+    """(key, path, content) of the image files of a folder, the key being the name without its suffix. Files that don't begin like
+    an image of these kinds are skipped."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    files = files.where(F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*suffixes))
+    head = F.hex(F.substring("content", 1, 12))
+    image = head.startswith("FFD8FF") | head.startswith("89504E470D0A1A0A") | (head.startswith("52494646") & head.endswith("57454250"))
+    return files.where(image).select(F.regexp_extract(name, r"^(.*)\.[^.]*$", 1).alias("key"), "path", "content")
+
+
+def fetch(rows: DataFrame, done: DataFrame, get: Callable[[str], bytes]) -> DataFrame:
+    """(key, content) for rows (key, url) that done (key) doesn't have. get is an outside service; what it raises leaves a row out."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, contents = [], []
+            for key, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    content = get(url)
+                except Exception:  # noqa: BLE001 - whatever the service raises
+                    continue
+                keys.append(key)
+                contents.append(content)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(contents, pa.binary())], names=["key", "content"])
+
+    wanted = rows.select(F.col("key").cast("string"), "url").where("url is not null").join(done.select(F.col("key").cast("string")), "key", "left_anti")
+    return wanted.mapInArrow(run, "key string, content binary")
+
+
+def resumed(df: DataFrame, key: str, path: str, work: Callable[[DataFrame], DataFrame], every: int = 20) -> DataFrame:
+    """work() on the rows that the table path doesn't have yet, every rows of them at a time (few, costly ones), each written before the
+    next begins; then the table."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    todo = pending(df, spark.read.parquet(path).select(key), [key]) if there else df
+    keys = [r[0] for r in todo.select(key).distinct().orderBy(key).toLocalIterator()]
+    for k in range(0, len(keys), every):
+        work(df.where(F.col(key).isin(*keys[k : k + every]))).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def external_scores(df: DataFrame, key: str, scores: str) -> DataFrame:
+    """df with scores, one for each row in the order of key, from a comma list or one a line; another count raises. The rows that
+    are scored by hand are few: their keys are numbered on the driver."""
+    parts = [x.strip() for x in scores.replace("\n", ",").split(",") if x.strip()]
+    keys = [r[0] for r in df.select(key).orderBy(key).collect()]
+    if len(keys) != len(parts) or len(set(keys)) != len(keys):
+        raise ValueError(f"{len(parts)} scores for {len(keys)} rows")
+    kind = df.schema[key].dataType.simpleString()
+    given = df.sparkSession.createDataFrame(list(zip(keys, parts)), f"`{key}` {kind}, score string")
+    return df.join(given, key).withColumn("score", F.col("score").try_cast("double"))

@@ -179,3 +179,17 @@ def test_edges_of_seeds_are_edges(spark):
     assert {(r["src"], r["dst"]): (round(r["w"], 9), round(r["sim"], 9)) for r in got} == want and len(got) == len(want)
     all_ = cooccurrence.edges(b)
     assert cooccurrence.n_edges(all_).first()["n"] * 2 == all_.count()
+
+
+@pytest.mark.parametrize("lat,lon,spread", [(38, 30, 1.0), (89.5, 0, 0.5), (0, 180, 3.0), (-60, -179.9, 0.2)])
+def test_knn_graph_is_all_pairs(spark, lat, lon, spread):
+    rng = random.Random(int(lat))
+    rows = [(i, "p" if i % 3 else "q", max(-90.0, min(90.0, lat + rng.gauss(0, spread))), (lon + rng.gauss(0, spread) * (1 + 5 * (i % 7 == 0)) + 540) % 360 - 180) for i in range(90)]
+    rows += [(200, "lone", 1.0, 1.0), (201, "same", 1.0, 1.0), (202, "same", 1.0, 1.0), (203, None, 1.0, 1.0), (204, "p", None, 1.0)]
+    p = spark.createDataFrame(rows, "location_id bigint, province string, lat double, lon double")
+    want = set()
+    for a in rows:
+        own = [b for b in rows if b[1] == a[1] and b[0] != a[0] and None not in a and None not in b]
+        for b in sorted(own, key=lambda b: (round(places._km(a[2:], b[2:]), 6), b[0]))[:4]:
+            want |= {(a[0], b[0]), (b[0], a[0])}
+    assert sorted((r["src"], r["dst"]) for r in places.knn_graph(p, 4).collect()) == sorted(want)
