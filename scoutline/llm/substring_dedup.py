@@ -44,8 +44,8 @@ WINDOW = LENGTH - GRAM + 1
 BEFORE = LENGTH - GRAM
 #: Segments of a bucket that one task refines; a larger bucket is split in Spark first.
 GROUP = 4_096
-#: Bytes of segments that are refined at once.
-BATCH = 1_500_000
+#: Bytes of segments that are refined at once: few enough for a core's own cache.
+BATCH = 100_000
 #: Long texts are scanned in pieces of so many bytes.
 PIECE = 1 << 22
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -194,16 +194,17 @@ SPAN = "did bigint, th bigint, b int, e int"
 def refine(texts: list[bytes], groups: list[int], shifts: list[int]) -> list[np.ndarray]:
     """For each text, whether the LENGTH bytes from each of its positions also occur in another text of its group
     at the same place (position minus shift). Bucket-pointer refinement."""
-    data = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+    data = b"".join(texts) + bytes(8)
     sizes = np.array([len(t) for t in texts])
     starts = np.concatenate(([0], np.cumsum(sizes)))
     n = int(starts[-1])
     within = np.arange(n) - np.repeat(starts[:-1], sizes)
     room = np.repeat(sizes, sizes) - within  # bytes from here to the end of the text
     place = within - np.repeat(np.array(shifts), sizes) + LENGTH
-    word = np.zeros(n, np.uint64)
-    for k in range(8):
-        word |= data[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    word = np.empty(n, np.uint64)  # the eight bytes from each position
+    for k in range(min(8, n)):
+        m = len(range(k, n, 8))
+        word[k::8] = np.frombuffer(data, "<u8", m, k)
     bucket = np.full(n, -1, np.int64)
 
     def rank(at: np.ndarray, keys: np.ndarray) -> None:
@@ -218,7 +219,10 @@ def refine(texts: list[bytes], groups: list[int], shifts: list[int]) -> list[np.
             bucket[at[order[shared]]] = number[shared]
 
     at = np.flatnonzero(room >= 8)
-    _, letters = np.unique(word[at], return_inverse=True)
+    order = np.argsort(word[at])
+    ordered = word[at[order]]
+    letters = np.empty(len(at), np.int64)
+    letters[order] = np.cumsum(np.concatenate((np.zeros(min(1, len(at)), np.int64), ordered[1:] != ordered[:-1])))
     where = np.repeat(np.array(groups, np.int64), sizes)[at] * (3 * LENGTH) + place[at]  # fits beside the letters: a task holds few groups
     rank(at, where * (int(letters.max(initial=0)) + 1) + letters)
     depth = 8
