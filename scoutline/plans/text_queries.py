@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from scoutline.functions import lexicon as lex
 from scoutline.functions import text as tx
-from scoutline.operators import annotation, metrics, preparation, retrieval, search, tagging
+from scoutline.operators import annotation, metrics, models, preparation, retrieval, search, tagging
 from scoutline.plans import catalogue as base
 from scoutline.plans.shared import LOWER, QUERIES, categories_sql, category_sql, draw_sql, label_sql, match_sql, ph, phrase, query, sql_list
 from scoutline.sources import views as v
@@ -359,3 +358,12 @@ def _(s, d):
 @query("class_report", f"with {_PER} select label, round(coalesce(tp / nullif(np, 0), 0), 6) as precision, round(tp / ng, 6) as recall, round(coalesce(2 * tp / nullif(ng + np, 0), 0), 6) as f1, ng as support from cl")
 def _(s, d):
     return metrics.classification(_predictions(s, d).select("label", F.get("ranked", F.lit(0)).alias("predicted")))
+
+
+@query("embedding_head_report")
+def _(s, d):
+    e = v.table(s, d, "embeddings")
+    held = F.crc32(F.col("vec_id").cast("string").cast("binary")) % 4 == 0
+    head = models.fit_head(e.where(~held))
+    ranked = models.classify(e.where(held), head).join(e.select("vec_id", F.col("label").cast("string").alias("label")), "vec_id")
+    return metrics.top_k_accuracy(ranked.select("label", "ranked"))

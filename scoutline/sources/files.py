@@ -1,4 +1,4 @@
-"""Readers and writers: CSV (with or without a byte-order mark), JSON, JSON lines, label maps, vector indexes, images, resumable work."""
+"""Readers and writers: CSV (with or without a byte-order mark), workbooks, JSON, JSON lines, label maps, vector indexes, images, resumable work."""
 
 from __future__ import annotations
 
@@ -61,12 +61,7 @@ def write_json(spark: SparkSession, value, path: str) -> None:
     """One JSON document (a label map, a report, a list of split rows on the driver) in the file path, wherever Spark can write."""
     import json
 
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2).encode()))
-    finally:
-        out.close()
+    _write_bytes(spark, json.dumps(value, ensure_ascii=False, indent=2).encode(), path)
 
 
 def label_map(ids: DataFrame, label: str = "label", name: str = "label_id") -> dict:
@@ -130,3 +125,85 @@ def external_scores(df: DataFrame, key: str, scores: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     given = df.sparkSession.createDataFrame(list(zip(keys, parts)), f"`{key}` {kind}, score string")
     return df.join(given, key).withColumn("score", F.col("score").try_cast("double"))
+
+
+_SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+
+
+def read_xlsx(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """A workbook's sheet as strings, its first row the header; a path that ends in .csv is read as that. A sheet has at most 2^20 rows,
+    so it is parsed on the driver."""
+    import io
+    import re
+    import zipfile
+    from xml.etree import ElementTree
+
+    if path.lower().endswith(".csv"):
+        return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    content = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    tag = lambda name: f"{{{_SHEET}}}{name}"
+    with zipfile.ZipFile(io.BytesIO(bytes(content))) as book:
+        shared = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            shared = ["".join(x.text or "" for x in si.iter(tag("t"))) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(tag("si"))]
+        rows = []
+        for row in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{sheet}.xml")).iter(tag("row")):
+            cells: dict[int, str | None] = {}
+            for k, c in enumerate(row.iter(tag("c"))):
+                letters = re.match("[A-Z]+", c.get("r") or "")
+                at = k
+                if letters:
+                    at = -1
+                    for ch in letters[0]:
+                        at = (at + 1) * 26 + ord(ch) - 65
+                value = c.find(tag("v"))
+                text = "".join(x.text or "" for x in c.iter(tag("t"))) if c.get("t") == "inlineStr" else value.text if value is not None else None
+                cells[at] = shared[int(text)] if c.get("t") == "s" and text is not None else text
+            rows.append([cells.get(k) for k in range(max(cells, default=-1) + 1)])
+    if not rows:
+        return spark.createDataFrame([], "value string").drop("value")
+    names = [x or f"_{k}" for k, x in enumerate(rows[0])]
+    whole = [tuple((r + [None] * len(names))[: len(names)]) for r in rows[1:]]
+    return spark.createDataFrame(whole, ", ".join(f"`{n}` string" for n in names))
+
+
+def write_xlsx(df: DataFrame, path: str, most: int = 1_048_575) -> None:
+    """A workbook of one sheet with a header; more rows than a sheet can hold raise. Numbers stay numbers, all else is text."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows")
+
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return f"<c><v>{v}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    lines = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [tuple(df.columns), *map(tuple, rows)])
+    head, kinds = '<?xml version="1.0" encoding="UTF-8"?>', "http://schemas.openxmlformats.org"
+    parts = {
+        "[Content_Types].xml": f'{head}<Types xmlns="{kinds}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+        "_rels/.rels": f'{head}<Relationships xmlns="{kinds}/package/2006/relationships"><Relationship Id="rId1" Type="{kinds}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'{head}<workbook xmlns="{_SHEET}" xmlns:r="{kinds}/officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'{head}<Relationships xmlns="{kinds}/package/2006/relationships"><Relationship Id="rId1" Type="{kinds}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'{head}<worksheet xmlns="{_SHEET}"><sheetData>{lines}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, text in parts.items():
+            book.writestr(name, text)
+    _write_bytes(df.sparkSession, out.getvalue(), path)
+
+
+def _write_bytes(spark: SparkSession, content: bytes, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()

@@ -100,3 +100,14 @@ def test_late_events_are_left_out(spark, tmp_path):
     run()
     got = {str(r["start"]): r["n"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got["2024-01-01 00:00:00"] == 2 and got.get("2024-01-01 05:00:00", 1) == 1
+
+
+def test_workbooks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a <b> & c", 1.5), (2, None, None), (3, " ş ", 2.0)], "id int, text string, score double")
+    files.write_xlsx(df.orderBy("id"), f"file://{tmp_path}/book.xlsx")
+    got = files.read_xlsx(spark, f"file://{tmp_path}/book.xlsx").collect()
+    assert [tuple(r) for r in got] == [("1", "a <b> & c", "1.5"), ("2", None, None), ("3", " ş ", "2.0")]
+    with pytest.raises(ValueError):
+        files.write_xlsx(df, f"file://{tmp_path}/more.xlsx", most=2)
+    (tmp_path / "book.csv").write_text("id,text\n1,x\n")
+    assert [tuple(r) for r in files.read_xlsx(spark, f"file://{tmp_path}/book.csv").collect()] == [("1", "x")]
