@@ -93,11 +93,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), by alternating large and small stars.
 
     Each round is two hash aggregations and two joins, which AQE splits where a star is hot; the round's
-    edges are written to the shared folder. Stops when the edges no longer change.
+    edges are written to the shared folder, and those of the round before deleted. Stops when the edges no longer change.
     """
     spark = edges.sparkSession
-    schema = "a bigint, b bigint"
-    now = materialise(edges.selectExpr("greatest(a, b) a", "least(a, b) b").where("a <> b").distinct(), "edges")
+    run = scratch(spark, "components")
+    now = materialise(edges.selectExpr("greatest(a, b) a", "least(a, b) b").where("a <> b").distinct(), "edges", run)
 
     def print_of(df: DataFrame):
         # a sum of hashes kept to 31 bits, so that it cannot overflow
@@ -112,7 +112,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a").selectExpr("b a", "m b").where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").selectExpr("b a", "m b").unionByName(least.selectExpr("a", "m b"))
-        now = materialise(small.where("a <> b").distinct(), "edges").select("a", "b")
+        old, run = run, scratch(spark, "components")
+        now = materialise(small.where("a <> b").distinct(), "edges", run).select("a", "b")
+        discard(spark, old)
         after = print_of(now)
         if after == before:
             break

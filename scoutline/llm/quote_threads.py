@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from scoutline.llm.common import materialise
+from scoutline.llm.common import discard, materialise, scratch
 
 #: Quote marks at the start of a line.
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
@@ -96,11 +96,15 @@ def linked(messages: DataFrame) -> DataFrame:
 
 def _threads(links: DataFrame) -> DataFrame:
     """(conv_id, turn, root): where the links from a message end; each round doubles the reach."""
-    now = materialise(links.select("conv_id", "turn", F.col("to").alias("root")), "roots")
+    spark = links.sparkSession
+    run = scratch(spark, "threads")
+    now = materialise(links.select("conv_id", "turn", F.col("to").alias("root")), "roots", run)
     while True:
         ahead = now.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("further"))
         then = now.join(ahead, ["conv_id", "root"], "left")
-        then = materialise(then.select("conv_id", "turn", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        old, run = run, scratch(spark, "threads")
+        then = materialise(then.select("conv_id", "turn", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots", run)
+        discard(spark, old)
         now = then.select("conv_id", "turn", "root")
         if then.where("moved").isEmpty():
             return now

@@ -65,3 +65,14 @@ def test_long_chains_end(spark):
     rows = [(1, 0, "u", "m0")] + [(1, i, "u", f"> m{i - 1}\nm{i}") for i in range(1, 30)]
     out = quote_threads.linked(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
     assert all(r["thread"] == 0 for r in out)
+
+
+def test_very_long_messages_and_pages(spark):
+    lines = [f"line number {k} of a long message" for k in range(20_000)]
+    rows = [(1, 0, "user", "\n".join(lines)), (1, 1, "assistant", "\n".join("> " + x for x in lines) + "\nagreed"), (1, 2, "user", "> agreed\nfine")]
+    got = {r["turn"]: r for r in quote_threads.linked(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert (got[1]["reply_to"], got[1]["text"], got[2]["reply_to"], got[2]["thread"]) == (0, "agreed", 1, 0) and got[0]["text"] == rows[0][3]
+    body = "".join(f"<p>paragraph {k} with <b>some</b> words</p>" for k in range(60_000))
+    page = spark.createDataFrame([(1, "http://a.example/x", f"<nav>menu</nav><article>{body}</article>"), (1, "http://a.example/x", None)], "page_id bigint, url string, html string")
+    texts = sorted(r["text"] for r in page_text.extract(page).collect())
+    assert texts[0] == "" and texts[1] == "\n\n".join(f"paragraph {k} with some words" for k in range(60_000))
