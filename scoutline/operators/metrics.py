@@ -40,6 +40,32 @@ def graded(rows: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
+def single_target(rows: DataFrame, k: int = 5) -> DataFrame:
+    """(queries, p_at_k, hit_rate) in percent of (q, rank, is_gold): shares of gold rows among a query's first k, and of queries with one there."""
+    per = rows.where(F.col("rank") <= k).groupBy("q").agg(F.avg(F.col("is_gold").cast("int")).alias("p"), F.max(F.col("is_gold").cast("int")).alias("hit"))
+    every = rows.select("q").distinct().join(per, "q", "left").na.fill(0)
+    return every.agg(F.count("*").alias("queries"), F.round(100 * F.avg("p"), 6).alias("p_at_k"), F.round(100 * F.avg("hit"), 6).alias("hit_rate"))
+
+
+def bincount(rows: DataFrame, column: str, least: int) -> DataFrame:
+    """(value, n) of a column of small whole numbers, with all values from 0 to least - 1, counted or not."""
+    n = rows.where(F.col(column) >= 0).groupBy(F.col(column).cast("bigint").alias("value")).agg(F.count("*").alias("n"))
+    every = rows.sparkSession.range(least).select(F.col("id").alias("value"))
+    return every.join(n, "value", "full").select("value", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def timed(steps: dict, n: int = 1) -> dict[str, float]:
+    """Milliseconds for each of n queries of each step, a function that gives a DataFrame, when its rows are worked out."""
+    import time
+
+    out = {}
+    for name, step in steps.items():
+        began = time.perf_counter()
+        step().write.format("noop").mode("overwrite").save()
+        out[name] = 1000 * (time.perf_counter() - began) / max(1, n)
+    return out
+
+
 def crosstab(rows: DataFrame, a: str, b: str, grades: int = 3) -> DataFrame:
     """(a, b, n) over all pairs of grades."""
     spark = rows.sparkSession
@@ -48,6 +74,14 @@ def crosstab(rows: DataFrame, a: str, b: str, grades: int = 3) -> DataFrame:
     return every.join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def expert_agreement(human: DataFrame, machine: DataFrame, grades: int = 3) -> DataFrame:
+    """agreement() of human_score and llm_score over the pairs (q, cand) that both have; scores that are no numbers are left out."""
+    from scoutline.operators.preparation import numeric
+
+    both = numeric(human.select("q", "cand", "human_score"), "human_score").join(numeric(machine.select("q", "cand", "llm_score"), "llm_score"), ["q", "cand"])
+    return agreement(both, "human_score", "llm_score", grades)
+
+
 def agreement(rows: DataFrame, a: str, b: str, grades: int = 3) -> DataFrame:
     """n, exact, within_one, kappa (quadratic weights; 0 if one rating never varies in both), spearman (average ranks)."""
     t = crosstab(rows, a, b, grades)

@@ -25,6 +25,27 @@ def overwrite(df: DataFrame, where: Column, column: str, value) -> DataFrame:
     return df.withColumn(column, F.when(where, F.lit(value)).otherwise(F.col(column)))
 
 
+def project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The columns old -> new, in order; what df doesn't have is null."""
+    have = {c.lower() for c in df.columns}
+    return df.select(*[(F.col(old) if old.lower() in have else F.lit(None).cast("string")).alias(new) for old, new in columns.items()])
+
+
+def numeric(df: DataFrame, *columns: str) -> DataFrame:
+    """df with the columns as numbers, without the rows in which one is none."""
+    return df.withColumns({c: F.col(c).cast("string").try_cast("double") for c in columns}).dropna(subset=list(columns))
+
+
+def part(rows: DataFrame, split: DataFrame, group: str, name: str) -> DataFrame:
+    """The rows whose group is in the named split."""
+    return rows.join(split.where(F.col("split") == name).select(group), group, "left_semi")
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two frames hold the same distinct rows."""
+    return a.subtract(b).isEmpty() and b.subtract(a).isEmpty()
+
+
 def keep_first(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("__rn = 1").drop("__rn")
 

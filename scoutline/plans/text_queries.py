@@ -329,6 +329,27 @@ def _(s, d):
     return annotation.build(ranked.select("q", "qlabel").distinct(), ranked, "qlabel", n=4).select("q", "cand", "rank", "is_gold", "place")
 
 
+@query("single_target", f"with {base._DENSE}, p as (select q, avg((cand = q or label = qlabel)::int) filter (rank <= 5) as p, max((cand = q or label = qlabel)::int) filter (rank <= 5) as h from dn group by q) select count(*) as queries, round(100 * avg(p), 6) as p_at_k, round(100 * avg(h), 6) as hit_rate from p")
+def _(s, d):
+    return metrics.single_target(base._ranked(s, d).select("q", "rank", (F.col("label") == F.col("qlabel")).alias("is_gold")))
+
+
+@query("expert_agreement", """with t as (select quality as a, toxic as b from labels where doc_id % 3 <> 0 and doc_id % 7 <> 0), n as (select a, b, count(*)::double as n from t group by all),
+e as (select x.a, y.b, coalesce(n.n, 0) as n, x.r * y.c / (select count(*) from t) as e, pow(x.a - y.b, 2) / 4 as w from (select a, sum(n) as r from n group by a) x cross join (select b, sum(n) as c from n group by b) y left join n on n.a = x.a and n.b = y.b),
+rk as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as rb from t)
+select sum(n)::bigint as n, round(sum(case when a = b then n else 0 end) / sum(n), 6) as exact, round(sum(case when abs(a - b) <= 1 then n else 0 end) / sum(n), 6) as within_one, round(case when sum(w * e) > 0 then 1 - sum(w * n) / sum(w * e) else 0 end, 6) as kappa, (select round(corr(ra, rb), 6) from rk) as spearman from e""")
+def _(s, d):
+    i = F.col("doc_id")
+    at = v.table(s, d, "labels").select((i % 50).alias("q"), i.alias("cand"), "quality", "toxic")
+    human = at.select("q", "cand", F.when(F.col("cand") % 3 == 0, "?").otherwise(F.col("quality").cast("string")).alias("human_score"))
+    return metrics.expert_agreement(human, at.where("cand % 7 <> 0").select("q", "cand", F.col("toxic").alias("llm_score")))
+
+
+@query("grade_counts", "select g as value, (select count(*) from labels where quality = g) as n from range(3) t(g)")
+def _(s, d):
+    return metrics.bincount(v.table(s, d, "labels"), "quality", 3)
+
+
 @query("expert_subset", f"select doc_id from (select doc_id from documents order by {draw_sql('doc_id')}, doc_id limit 30) order by doc_id")
 def _(s, d):
     return annotation.expert_subset(v.table(s, d, "documents").select("doc_id"), "doc_id", 30)
