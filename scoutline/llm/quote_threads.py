@@ -3,7 +3,7 @@ r"""Chat formatting by quotation linking, with DataFrame functions only.
 A line's quote level is the number of `>` it begins with; consecutive lines of one level are a passage.
 Passages are normalised (lower case, one blank for white space) and hashed, and joined, within the
 conversation, to the first earlier message whose own words (all of them, a paragraph or a line) have that
-hash; a passage that no message holds is tried by its first line. A message replies to the latest message
+hash; a passage that no message holds is tried by its lines, the first that is known. A message replies to the latest message
 that its passages of the lowest linked level come from. Messages without a link keep their turn; those with
 one stand in the thread of the message they reply to. (thread, turn) is the reply order of a conversation,
 so ordering needs no task to hold a conversation: threads come from doubling along the links.
@@ -81,8 +81,11 @@ def linked(messages: DataFrame) -> DataFrame:
     said = said.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(F.filter(parts, lambda x: normal(x) != ""), _digest))).alias("hash"))
     first = said.where((F.col("conv_id") > NONE) & (F.col("turn") > NONE)).groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
 
-    asked = passages.where((F.col("level") > 0) & (normal(F.col("body")) != "")).select(*key, "run", "level", F.explode(F.array(F.struct(F.lit(0).alias("by"), _digest(F.col("body")).alias("hash")), F.struct(F.lit(1).alias("by"), _digest(F.element_at(F.split("body", "\n"), 1)).alias("hash")))).alias("x"))
-    found = asked.select(*key, "run", "level", "x.*").join(first, ["conv_id", "hash"]).where("source < turn")
+    # whole, else by the first of its lines that is known
+    lines = F.transform(F.split("body", "\n"), lambda x, i: F.struct((i + 1).alias("by"), x.alias("said")))
+    tries = F.filter(F.concat(F.array(F.struct(F.lit(0).alias("by"), F.col("body").alias("said"))), lines), lambda x: normal(x["said"]) != "")
+    asked = passages.where((F.col("level") > 0) & (normal(F.col("body")) != "")).select(*key, "run", "level", F.explode(tries).alias("x")).select(*key, "run", "level", F.col("x.by").alias("by"), _digest(F.col("x.said")).alias("hash"))
+    found = asked.join(first, ["conv_id", "hash"]).where("source < turn")
     found = found.groupBy(*key, "run", "level").agg(F.min_by("source", "by").alias("source"))
     links = found.groupBy(*key).agg(F.count("*").alias("n_linked"), (-F.min(F.struct("level", (-F.col("source")).alias("last"))).getField("last")).alias("reply_to"))
     links = materialise(links, "links")
@@ -140,7 +143,7 @@ s1 as (select conv_id, turn, unnest(list_concat(list_concat([words], regexp_spli
 first as (select conv_id, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) as h, min(turn) as source from s1 where conv_id > -9223372036854775808 and turn > -9223372036854775808 group by 1, 2 having h <> ''),
 a as (select conv_id, turn, text, run, level, by_, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) as h from (
       select conv_id, turn, text, run, level, body as x, 0 as by_ from p where level > 0 and regexp_matches(body, '[^\x20\x09-\x0D]') union all
-      select conv_id, turn, text, run, level, string_split(body, chr(10))[1], 1 from p where level > 0 and regexp_matches(body, '[^\x20\x09-\x0D]'))),
+      select conv_id, turn, text, run, level, unnest(string_split(body, chr(10))), unnest(range(1, len(string_split(body, chr(10))) + 1)) from p where level > 0 and regexp_matches(body, '[^\x20\x09-\x0D]'))),
 f as (select a.conv_id, a.turn, text, run, level, min_by(source, by_) as source from a join first on first.conv_id = a.conv_id and first.h = a.h where source < a.turn group by all),
 links as (select conv_id, turn, text, count(*) as n_linked, -(min({'l': level, 's': -source}).s) as reply_to from f group by all),
 step as (select conv_id, turn, max(reply_to) as goes from links group by all),

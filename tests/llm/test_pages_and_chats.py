@@ -76,3 +76,13 @@ def test_very_long_messages_and_pages(spark):
     page = spark.createDataFrame([(1, "http://a.example/x", f"<nav>menu</nav><article>{body}</article>"), (1, "http://a.example/x", None)], "page_id bigint, url string, html string")
     texts = sorted(r["text"] for r in page_text.extract(page).collect())
     assert texts[0] == "" and texts[1] == "\n\n".join(f"paragraph {k} with some words" for k in range(60_000))
+
+
+def test_trimmed_quotes_link_by_a_line(spark):
+    rows = [(1, 0, "user", "alpha beta\ngamma delta"), (1, 1, "user", "other words"), (1, 2, "assistant", "> trimmed, then\n>\n> gamma  DELTA\n> other words\nanswer"), (1, 3, "user", "> nothing\n> known\nno")]
+    con = duckdb.connect()
+    con.execute("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    got = sorted(map(tuple, quote_threads.linked(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()), key=str)
+    assert got == sorted(con.execute(quote_threads.ORACLES["op3_quote_threads"]).fetchall(), key=str)
+    assert [r[3] for r in got] == [None, None, 0, None]
