@@ -157,3 +157,28 @@ def test_tfidf_weights(spark):
     i = {"elma": math.log(4 / 3) + 1, "armut": math.log(2) + 1}
     a, b = (1 + math.log(2)) * i["elma"], i["armut"]
     assert got[1, "elma"] == pytest.approx(a / math.hypot(a, b)) and got[3, "bir"] == 1.0 and (3, "x") not in got
+
+
+def test_small_steps(spark):
+    df = spark.createDataFrame([(1, "2", "x"), (2, "y", "x"), (3, None, "z")], "a int, b string, g string")
+    assert [(r["a"], r["b"]) for r in preparation.numeric(df, "b").collect()] == [(1, 2.0)]
+    assert preparation.project(df, {"a": "id", "none": "empty"}).collect()[0].asDict() == {"id": 1, "empty": None}
+    split = spark.createDataFrame([("x", "train"), ("z", "test")], "g string, split string")
+    assert sorted(r["a"] for r in preparation.part(df, split, "g", "train").collect()) == [1, 2]
+    assert preparation.same_rows(df, df.union(df)) and not preparation.same_rows(df, df.limit(1))
+    assert {r["value"]: r["n"] for r in metrics.bincount(df, "a", 3).collect()} == {0: 0, 1: 1, 2: 1, 3: 1}
+    assert metrics.timed({"one": lambda: df}, 2)["one"] > 0
+
+
+def test_legs_and_search_effort(spark):
+    from scoutline.operators import places
+
+    rows = [(k, "p", 38.0 + k / 100, 30.0 + (k % 3) / 100) for k in range(12)] + [(50, "q", 1.0, 1.0), (51, "q", 5.0, 5.0)]
+    p = spark.createDataFrame(rows, "location_id bigint, province string, lat double, lon double")
+    edges = places.region_graph(p.where("province = 'p'"), 2)
+    pairs = spark.createDataFrame([("p", 0, 11), ("p", 3, 3), ("q", 50, 51)], "province string, source bigint, target bigint")
+    got = {(r["source"], r["target"]): r for r in places.search_effort(edges, p, pairs).collect()}
+    assert got[50, 51]["dist"] is None and got[3, 3]["dist"] == 0 and got[0, 11]["astar"] <= got[0, 11]["dijkstra"]
+    stops = p.where("province = 'p'").select(F.col("province").alias("route"), F.col("location_id").alias("pos"), "lat", "lon")
+    legs = [r["leg_km"] for r in places.legs(stops).orderBy("pos").collect()]
+    assert legs[0] == 0 and legs[1:] == pytest.approx([places._km(a[2:], b[2:]) for a, b in zip(rows, rows[1:12])])
