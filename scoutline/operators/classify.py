@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,20 +29,17 @@ def features(rows: DataFrame, vocabulary: int = 15_000, min_df: int = 2) -> list
     known = rows.select(F.explode(F.array_distinct("grams")).alias("term")).join(F.broadcast(rows.sparkSession.createDataFrame([(w, k) for k, w in enumerate(count.vocabulary)], "term string, k int")), "term")  # the vocabulary
     n = rows.count()
     df = {r["k"]: r["n"] for r in known.groupBy("k").agg(F.count("*").alias("n")).collect()}
-    import math
-
     idf = [math.log((1 + n) / (1 + df.get(k, 0))) + 1 for k in range(len(count.vocabulary))]
     return [count, _Sublinear(), ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="log_tf", outputCol="weighed"), Normalizer(inputCol="weighed", outputCol="features", p=2.0)]
 
 
 class _Sublinear(SQLTransformer):
-    """log_tf: 1 + ln(tf) where a term occurs, from the built-in conversions between vectors and arrays."""
+    """log_tf: 1 + ln(tf) where a term occurs. Sparse vectors have no built-in for that and would be 15,000 numbers each as arrays."""
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import array_to_vector
-
-        logs = F.transform(vector_to_array("tf"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))
-        return dataset.withColumn("log_tf", array_to_vector(logs))
+        logs = F.udf(lambda v: SparseVector(v.size, v.indices, 1 + np.log(v.values)), VectorUDT(), useArrow=False)
+        # written, since the planner can't put a Python function between those of the stages around it
+        return dataset.withColumn("log_tf", logs("tf")).checkpoint()
 
 
 def fit(train: DataFrame, kind: str = "logistic", vocabulary: int = 15_000, min_df: int = 2) -> Classifier:
