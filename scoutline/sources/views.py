@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Operators cut lineage with checkpoint(), into the folder that the cluster names. A local session without one gets a temporary
+    folder; elsewhere Spark says that none is set."""
+    context = spark.sparkContext
+    if context.master.startswith("local") and not context.getConf().get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="scoutline-"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    checkpoints(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
