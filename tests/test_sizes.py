@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from scoutline.functions import text as tx
-from scoutline.operators import preparation
+from scoutline.operators import places, preparation
 
 
 def test_sentences_keep_their_digits(spark):
@@ -13,3 +13,10 @@ def test_sentences_keep_their_digits(spark):
     assert {r["text"] for r in rows.collect()} == {"The first sentence of a summary, which is long enough.", "2 more sentences follow and this one ends so: 1.", "2024 was a year of long sentences, as they all are."}
     one = spark.createDataFrame([("Nothing here. 1 sentence that begins with its place", )], "t string").select(tx.sentences(F.col("t"), 5).alias("s")).first()["s"]
     assert one == ["Nothing here.", "1 sentence that begins with its place"]
+
+
+def test_rounding_of_halves(spark):
+    """path_effort rounds six digits to five as its SQL does: by the binary number."""
+    x = [4.898095, 19.065675, 10.434095, 4.673855, 0.5, 0.0, 12.345678]
+    rows = spark.createDataFrame(list(enumerate(x)), "k int, x double").select("k", places.rounded(F.col("x"), 5).alias("r")).orderBy("k").collect()
+    assert [r["r"] for r in rows] == [4.89809, 19.06567, 10.43409, 4.67385, 0.5, 0.0, 12.34568]
