@@ -1,9 +1,11 @@
 """What went wrong only on larger tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from scoutline.functions import text as tx
-from scoutline.operators import places, preparation
+from scoutline.operators import places, preparation, retrieval
+from scoutline.operators.best import Best
 
 
 def test_sentences_keep_their_digits(spark):
@@ -20,3 +22,50 @@ def test_rounding_of_halves(spark):
     x = [4.898095, 19.065675, 10.434095, 4.673855, 0.5, 0.0, 12.345678]
     rows = spark.createDataFrame(list(enumerate(x)), "k int, x double").select("k", places.rounded(F.col("x"), 5).alias("r")).orderBy("k").collect()
     assert [r["r"] for r in rows] == [4.89809, 19.06567, 10.43409, 4.67385, 0.5, 0.0, 12.34568]
+
+
+def test_best_of_batches_are_the_best():
+    """Scores in batches, with many ties, give the same best as a sort of all."""
+    rng = np.random.default_rng(5)
+    scores, ids = np.round(rng.normal(size=(7, 4000)), 1), rng.permutation(4000)
+    scores[rng.random(scores.shape) < 0.2] = -np.inf
+    scores[6, 3:] = -np.inf  # fewer than k
+    best = Best(7, 20)
+    for at in range(0, 4000, 333):
+        best.take(scores[:, at : at + 333], ids[at : at + 333])
+    for q in range(7):
+        order = [i for i in np.lexsort((ids, -scores[q]))[:20] if np.isfinite(scores[q, i])]
+        assert best.id[best.q == q].tolist() == ids[order].tolist() and best.s[best.q == q].tolist() == scores[q, order].tolist()
+
+
+def test_products_of_vectors_are_small(spark, monkeypatch):
+    """A task multiplies few vectors by many queries at once, and repeated ids are left out of their own answers."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), rng.normal(size=6).tolist(), int(i) % 4) for i in [*range(150), 7, 8]]
+    e = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").coalesce(1)
+    widest, product = spark.sparkContext.accumulator(0), 500
+    monkeypatch.setattr(retrieval, "PRODUCT", product)
+    whole = retrieval._scored
+
+    def watched(vectors, queries, schema, begin, block):
+        def begun(*known):
+            take, rest = begin(*known)
+
+            def seen(vec_ids, labels, sims):
+                if sims.size > product:
+                    widest.add(1)
+                return take(vec_ids, labels, sims)
+
+            return seen, rest
+
+        return whole(vectors, queries, schema, begun, block)
+
+    monkeypatch.setattr(retrieval, "_scored", watched)
+    found = {(r["q"], r["label"]): r["sim"] for r in retrieval.label_scores(e, e).collect()}
+    assert widest.value == 0
+    m = np.array([np.float32(r[1]) for r in rows], np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    ids, labels = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    for (q, label), sim in found.items():
+        assert abs(sim - max((m[ids == q] @ m[(labels == label) & (ids != q)].T).max(axis=1))) < 1e-5
+    assert len(found) == 150 * 4
