@@ -122,18 +122,12 @@ sc as (select setting, dn.q, cand, round(round(sim, 6) - case when geo and (case
 rk as (select *, row_number() over (partition by setting, q order by score desc, cand) as rank from sc), hits as (select setting, q, rank, (rank <= 5)::int as hit from rk where cand = q)"""
 
 
-def _hits(s, d) -> DataFrame:
+def _hits(s, d, configs: tuple = _CONFIGS) -> DataFrame:
     p, q = _places(s, d), _asked(s, d)
-    sims = retrieval.similar(p.select(F.col("location_id").alias("vec_id"), F.lit(0).alias("label"), F.col("vec").alias("embedding")), q.select(F.col("q").alias("vec_id"), F.col("vec").alias("embedding")))
-    sims = sims.select("q", F.col("vec_id").alias("cand"), "sim")
-    passages = p.select(F.col("location_id").alias("cand"), F.concat_ws(" ", "name", "province", F.coalesce("activities", F.lit(""))).alias("text"))
+    passages = p.select(F.col("location_id").alias("cand"), F.concat_ws(" ", "name", "province", F.coalesce("activities", F.lit(""))).alias("text"), "vec")
     cities = [r[0] for r in p.select("province").distinct().collect()]
-    out = None
-    for name, geo, category in _CONFIGS:
-        scored = search.metadata_scores(sims, passages, q.select("q", "text"), cities, geo, category)
-        ranks = search.gold_ranks(scored, q.select("q", F.col("q").alias("cand"))).select(F.lit(name).alias("setting"), "q", "rank", (F.col("rank") <= 5).cast("int").alias("hit"))
-        out = ranks if out is None else out.unionByName(ranks)
-    return out
+    ranks = search.metadata_ranks(passages, q.select("q", "text", "vec"), cities, configs)
+    return ranks.select("setting", "q", "rank", (F.col("rank") <= 5).cast("int").alias("hit"))
 
 
 @query("metadata_configs", f"with {_META} select setting, q, rank from hits")
@@ -152,7 +146,7 @@ def _(s, d):
 @query("named_subsets", f"with {_PLACES}, r as (select q, location_id, row_number() over (partition by q order by round(sim, 6) desc, location_id) as rank from dn), n as (select r.rank, contains({LOWER.format('qs.text')}, {LOWER.format('qs.name')}) as subset from r join qs on qs.q = r.q where r.location_id = r.q) select subset, count(*) as n, round(avg(case when rank <= 1 then 100 else 0 end), 6) as hr1, round(avg(case when rank <= 5 then 100 else 0 end), 6) as hr5 from n group by 1")
 def _(s, d):
     q = _asked(s, d)
-    ranks = _hits(s, d).where("setting = 'No metadata filter'").join(q, "q")
+    ranks = _hits(s, d, _CONFIGS[:1]).join(q, "q")
     return metrics.by_subset(ranks.select("rank", tx.names_place(F.col("text"), F.col("name")).alias("named")))
 
 

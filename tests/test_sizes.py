@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scoutline.functions import text as tx
-from scoutline.operators import places, preparation, retrieval
+from scoutline.operators import places, preparation, retrieval, search
 from scoutline.operators.best import Best
 
 
@@ -69,3 +69,35 @@ def test_products_of_vectors_are_small(spark, monkeypatch):
     for (q, label), sim in found.items():
         assert abs(sim - max((m[ids == q] @ m[(labels == label) & (ids != q)].T).max(axis=1))) < 1e-5
     assert len(found) == 150 * 4
+
+
+def test_ranks_without_pairs(spark, monkeypatch):
+    """Ranks under the settings equal those counted over all pairs, with ties and over several blocks, and no pair is written."""
+    rng = np.random.default_rng(2)
+    vec = [rng.normal(size=4).tolist() for _ in range(5)]
+    texts = ["Ankara sokak", "İzmir deniz kıyısı", "hastane", "Van sokakta hastane"]
+    p = spark.createDataFrame([(i, texts[i % 4], vec[i % 5]) for i in range(60)], "cand bigint, text string, vec array<float>")
+    q = spark.createDataFrame([(i, texts[i % 3] + (" Ege" if i % 4 == 0 else ""), vec[i % 3]) for i in range(70)], "q bigint, text string, vec array<float>")
+    cities, configs = ["Ankara", "İzmir", "Van"], (("none", False, False), ("both", True, True))
+    monkeypatch.setattr(search, "RANKED", 25)
+    found = {(r["setting"], r["q"]): r["rank"] for r in search.metadata_ranks(p, q, cities, configs).collect()}
+    sims = retrieval.similar(p.select(F.col("cand").alias("vec_id"), F.lit(0).alias("label"), F.col("vec").alias("embedding")), q.select(F.col("q").alias("vec_id"), F.col("vec").alias("embedding")))
+    sims = sims.select("q", F.col("vec_id").alias("cand"), "sim")
+    for name, geo, category in configs:
+        scored = search.metadata_scores(sims, p, q, cities, geo, category)
+        want = {(name, r["q"]): r["rank"] for r in search.gold_ranks(scored, q.select("q", F.col("q").alias("cand"))).collect()}
+        assert want == {k: r for k, r in found.items() if k[0] == name} and len(want) == 60
+
+
+def test_equal_texts_are_searched_once(spark):
+    """Queries of one text have one search, and its ties, blocks and ranks are those of each of them."""
+    p = spark.createDataFrame([(i, f"sokak deniz {'gece' if i % 3 else 'sabah liman'}") for i in range(40)], "cand bigint, text string")
+    q = spark.createDataFrame([(i, ["gece sokak", "liman", None, "yok"][i % 4]) for i in range(12)], "q bigint, text string")
+    texts, of = search._numbered_texts(q)
+    assert texts.count() == 4 and of.count() == 12
+    got: dict = {}
+    for r in search.tfidf_topk(p, q).orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append((r["cand"], r["score"]))
+    assert set(got) == {i for i in range(12) if i % 4 < 2}
+    assert [c for c, _ in got[0]] == [1, 2, 4, 5, 7] and [c for c, _ in got[1]] == [0, 3, 6, 9, 12]
+    assert got[0] == got[4] == got[8] and got[1] == got[5] == got[9]
