@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from scoutline.functions import lexicon as lex
 
 
+def once(c: Column, f) -> Column:
+    """f(c), with c worked out once however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def turkish_lower(c: Column) -> Column:
     return F.lower(F.translate(F.coalesce(c, F.lit("")), "İIĞÜŞÖÇ", "iığüşöç"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from scoutline.functions import lexicon as lex
+from scoutline.functions.text import once
 
 MARKS = ".,;:!?)(\"'"
 
@@ -23,11 +24,14 @@ def _bare(c: Column) -> Column:
 
 def token_class(token: Column) -> Column:
     """P, T, E or O for a token alone."""
-    low = _bare(token)
-    inside = lambda terms, n: low.rlike("|".join(t for t in terms if len(t) > n))
-    place = low.isin(*lex.PLACE_TERMS) | inside(lex.PLACE_TERMS, 4)
-    event = low.isin(*lex.EVENT_TERMS) | inside(lex.EVENT_TERMS, 5)
-    return F.when(place, "P").when(low.isin(*lex.TIME_TERMS) | token.rlike(r"^\p{Nd}{4}"), "T").when(event, "E").otherwise("O")
+
+    def of(low: Column) -> Column:
+        inside = lambda terms, n: low.rlike("|".join(t for t in terms if len(t) > n))
+        place = low.isin(*lex.PLACE_TERMS) | inside(lex.PLACE_TERMS, 4)
+        event = low.isin(*lex.EVENT_TERMS) | inside(lex.EVENT_TERMS, 5)
+        return F.when(place, "P").when(low.isin(*lex.TIME_TERMS) | token.rlike(r"^\p{Nd}{4}"), "T").when(event, "E").otherwise("O")
+
+    return once(_bare(token), of)
 
 
 def tokens(sentence: Column) -> Column:
@@ -56,13 +60,13 @@ def align_labels(tags: Column, word_ids: Column, label_ids: dict[str, int]) -> C
     """Label ids of sub-words: -100 without a word, I- for a word's later pieces, 0 for an unknown label."""
     known = F.create_map(*[F.lit(x) for kv in label_ids.items() for x in kv])
 
-    def one(w: Column, i: Column, ids: Column) -> Column:
-        tag = F.get(tags, w)
+    def one(w: Column, i: Column, ids: Column, all_: Column) -> Column:
         again = (i > 0) & F.get(ids, i - 1).eqNullSafe(w)
-        tag = F.when(again & tag.startswith("B-"), F.concat(F.lit("I-"), F.substring(tag, 3, 100))).otherwise(tag)
-        return F.when(w.isNull(), -100).otherwise(F.coalesce(known[tag], F.lit(0)))
+        label = once(F.get(all_, w), lambda tag: known[F.when(again & tag.startswith("B-"), F.concat(F.lit("I-"), F.substring(tag, 3, 100))).otherwise(tag)])
+        return F.when(w.isNull(), -100).otherwise(F.coalesce(label, F.lit(0)))
 
-    return F.transform(word_ids, lambda w, i: one(w, i, word_ids))
+    # tags and words are worked out once, not again for each word
+    return once(tags, lambda all_: once(word_ids, lambda ids: F.transform(ids, lambda w, i: one(w, i, ids, all_))))
 
 
 def entities(tagged: DataFrame) -> DataFrame:

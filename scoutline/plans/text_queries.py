@@ -203,7 +203,8 @@ def _(s, d):
 @query("reduced_categories", f"with n as (select item_id, text || ' ' || {ph('item_id')} as name from item), c as (select item_id, {_kinds('name')} as c from n) select item_id, coalesce(c[1], '') as first, array_to_string(c, ',') as categories from c")
 def _(s, d):
     name = F.concat("text", F.lit(" "), phrase(F.col("item_id")))
-    return v.item(s, d).select("item_id", tx.reduced_category(name).alias("first"), F.array_join(tx.reduced_categories(name), ",").alias("categories"))
+    both = tx.once(tx.reduced_categories(name), lambda c: F.struct(F.coalesce(F.get(c, F.lit(0)), F.lit("")).alias("first"), F.array_join(c, ",").alias("categories")))
+    return v.item(s, d).select("item_id", F.inline(F.array(both)))
 
 
 @query("word_overlap", f"with t as (select p_partkey, string_split(p_name, ' ') as a, string_split({ph('p_partkey')} || ' ' || p_name, ' ') as b from part) select p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::double, 6) as j from t")
@@ -243,11 +244,14 @@ _LABELS = ("O", "B-MEKAN", "I-MEKAN", "B-ZAMAN", "I-ZAMAN", "B-OLAY", "I-OLAY")
 
 @query("label_alignment_tokens", f"with {_TAGS}, sw as (select sent, pos, tag, unnest(range(0, ((length(token) + 3) // 4)::bigint)) as r from tg), al as (select sent, pos, r, case when r > 0 and tag like 'B-%' then 'I-' || substr(tag, 3) else tag end as tag from sw) select sent, '-100,' || string_agg(list_position([{sql_list(_LABELS)}], tag) - 1, ',' order by pos, r) || ',-100' as ids from al group by sent")
 def _(s, d):
-    t = base._sentences(s, d).select("sent", tagging.bio_tags(F.col("sentence")).alias("t"))
     none = F.array(F.lit(None).cast("int"))
-    words = F.flatten(F.transform("t", lambda x, i: F.array_repeat(i, F.ceil(F.length(x["token"]) / 4).cast("int"))))
-    ids = tagging.align_labels(F.transform("t", lambda x: x["tag"]), F.concat(none, words, none), {label: k for k, label in enumerate(_LABELS)})
-    return t.select("sent", F.array_join(ids.cast("array<string>"), ",").alias("ids"))
+
+    def ids(t: Column) -> Column:
+        words = F.flatten(F.transform(t, lambda x, i: F.array_repeat(i, F.ceil(F.length(x["token"]) / 4).cast("int"))))
+        return tagging.align_labels(F.transform(t, lambda x: x["tag"]), F.concat(none, words, none), {label: k for k, label in enumerate(_LABELS)})
+
+    # the tags of a sentence are worked out once
+    return base._sentences(s, d).select("sent", F.array_join(tx.once(tagging.bio_tags(F.col("sentence")), ids).cast("array<string>"), ",").alias("ids"))
 
 
 # --- preparation and annotation --------------------------------------------------------------------------------------
