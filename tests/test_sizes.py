@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scoutline.functions import text as tx
-from scoutline.operators import places, preparation, retrieval, search
+from scoutline.operators import knowledge, places, preparation, retrieval, search
 from scoutline.operators.best import Best
 
 
@@ -101,3 +101,34 @@ def test_equal_texts_are_searched_once(spark):
     assert set(got) == {i for i in range(12) if i % 4 < 2}
     assert [c for c, _ in got[0]] == [1, 2, 4, 5, 7] and [c for c, _ in got[1]] == [0, 3, 6, 9, 12]
     assert got[0] == got[4] == got[8] and got[1] == got[5] == got[9]
+
+
+def test_counts_of_the_graph_without_pairs_at_a_point(spark, monkeypatch):
+    """Edges and nodes are counted as graph() has them, and places that share a point are not paired one by one."""
+    at = spark.createDataFrame([(i, f"p{i}", 40.0 + (i % 3) * 0.05, 30.0) for i in range(60)] + [(99, "far", 10.0, 10.0)], "location_id bigint, name string, lat double, lon double")
+    film = spark.createDataFrame([(1, "a", "x"), (2, "a", None), (3, None, "bilinmiyor"), (1, "a", "x")], "production_id bigint, genre string, director string")
+    bridge = spark.createDataFrame([(1, 3), (1, 3), (4, 5), (5, 1000)], "production_id bigint, location_id bigint")
+    cast = spark.createDataFrame([(1, 7), (2, 7), (6, None)], "production_id bigint, item_id bigint")
+    nodes, edges = knowledge.graph(film, bridge, cast, at)
+    want = {r["relation"]: r["n"] for r in edges.groupBy("relation").agg(F.count("*").alias("n")).collect()}, {r["type"]: r["n"] for r in nodes.groupBy("type").agg(F.count("*").alias("n")).collect()}
+    sizes, pairs = [], knowledge.near_pairs
+    monkeypatch.setattr(places, "near_pairs", lambda p, km: sizes.append(p.count()) or pairs(p, km))
+    assert {r["relation"]: r["n"] for r in knowledge.edge_counts(film, bridge, cast, at).collect()} == want[0]
+    assert sizes == [4]
+    assert {r["type"]: r["n"] for r in knowledge.node_counts(film, bridge, cast, at).collect()} == want[1]
+
+
+def test_routes_of_many_stops_are_quick(monkeypatch):
+    """Stops that share points, and more points than are kept as a table."""
+    import time
+
+    rng = np.random.default_rng(1)
+    points = [(float(a), float(b)) for a, b in rng.integers(0, 12, (300, 2)) / 60 + [36.0, 30.0]]
+    order, km = places.order_stops(points)
+    assert sorted(order) == list(range(300)) and abs(km - sum(places._km(points[a], points[b]) for a, b in zip(order, order[1:]))) < 1e-6
+    monkeypatch.setattr(places, "TABLE", 10)
+    assert places.order_stops(points) == (order, km)
+    monkeypatch.undo()
+    began = time.perf_counter()
+    places.order_stops([points[i % 300] for i in range(3000)])
+    assert time.perf_counter() - began < 30
